@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-from . import burst, dfr, overlap, stripes
+from . import burst, dfr, leakage, norm, overlap, stripes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return dfr.standout_terms(dfr.term_weights(table(spark, d, "book_terms")))
 
 
+def p2_texts(spark: SparkSession, d: str) -> DataFrame:
+    return norm.consistent_texts(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p2_terms(spark: SparkSession, d: str) -> DataFrame:
+    terms = table(spark, d, "book_terms").select("term").distinct()
+    return norm.consistent_texts(terms, "term", "term").select(F.col("key").alias("term"), F.col("text").alias("form"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return norm.lookalike_pairs(table(spark, d, "book_terms"), table(spark, d, "documents"))
+
+
 def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return burst.term_frequencies(table(spark, d, "book_terms"), table(spark, d, "corpus_terms"))
 
@@ -49,7 +62,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return stripes.bound_items(table(spark, d, "token_lemmas"))
 
 
-_ALL = [p1_found, p1_scores, p4_found, p4_frequencies, p6_found, p6_estimates, p7_found, p7_pairs]
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(p9_leaks(spark, d))
+
+
+_ALL = [p1_found, p1_scores, p2_found, p2_terms, p2_texts, p4_found, p4_frequencies, p6_found, p6_estimates, p7_found, p7_pairs, p9_found, p9_leaks]
 
 
 def _sent(f: Query) -> Query:
