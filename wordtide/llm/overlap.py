@@ -17,6 +17,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Hashes in a sketch: its standard error at a similarity of 3/4 is 0.027.
 K = 256
 #: Ranges of the hash by which the members of a large set are counted, so that it is never gathered to be sorted.
@@ -46,22 +48,24 @@ def overlaps(corpus_terms: DataFrame, min_books: int = 6, min_share: float = 0.7
     stands for its set. members (term, book, n): the sets of those.
     Duplicate ids and rows count once; null ids, null arrays and null terms do not count; an empty table gives none.
     """
-    rows = memberships(corpus_terms, min_books)
+    # each cut keeps the plans short: the driver's memory grows with the plan, not with the data
+    rows = cut(memberships(corpus_terms, min_books))
     sign = [F.sum(F.col("h").cast("decimal(20,0)")).alias("s"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64(F.lit(7), F.col("book"))).alias("y")]
     signed = rows.groupBy("term", "n").agg(*sign)
     first = signed.groupBy("n", "s", "x", "y").agg(F.min("term").alias("of"))
-    classes = signed.join(first, ["n", "s", "x", "y"]).select("term", "of")
-    members = rows.join(first.select(F.col("of").alias("term")), "term", "left_semi")
+    classes = cut(signed.join(first, ["n", "s", "x", "y"]).select("term", "of"))
+    members = rows.join(classes.where("term = of").select("term"), "term", "left_semi")
 
     wide = members.groupBy("book").agg(F.count("*").alias("c"))
     hot = wide.where(F.col("c") > F.greatest(wide.agg(F.sum("c") * HOT).scalar(), F.lit(1000))).select("book", F.lit(1).alias("late"))
     members = members.join(F.broadcast(hot), "book", "left").withColumn("late", F.coalesce("late", F.lit(0)))
-    members = members.withColumn("r", F.shiftright("h", 54))  # -512 to 511
+    members = cut(members.withColumn("r", F.shiftright("h", 54)))  # r from -512 to 511
     counts = members.groupBy("term", "n", "late", "r").agg(F.count("*").alias("c"))
 
     flat = counts.groupBy("term", "n", "r").agg(F.sum("c").alias("c"))
     bottom = members.join(_until(flat, ["r"], F.lit(k)).select("term", "r"), ["term", "r"])
     sketches = bottom.groupBy("term", "n").agg(F.slice(F.array_sort(F.collect_list("h")), 1, k).alias("sketch"))
+    sketches = cut(sketches.select("term", "sketch"))
 
     prefix = F.col("n") - F.ceil(F.col("n") * min_share - 1e-9) + 1
     heads = members.join(_until(counts, ["late", "r"], prefix).select("term", "late", "r"), ["term", "late", "r"])
@@ -73,6 +77,7 @@ def overlaps(corpus_terms: DataFrame, min_books: int = 6, min_share: float = 0.7
     larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     pairs = own.join(near, ["h", "level"]).where(larger & (F.col("n_b") >= F.col("n_a") * min_share - 1e-9)).select("a", "b", "n_a", "n_b").distinct()
 
+    pairs = cut(pairs)
     pairs = pairs.join(sketches.select(F.col("term").alias("a"), F.col("sketch").alias("s_a")), "a")
     pairs = pairs.join(sketches.select(F.col("term").alias("b"), F.col("sketch").alias("s_b")), "b")
     pairs = pairs.withColumn("m", F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k))
@@ -85,7 +90,7 @@ def overlaps(corpus_terms: DataFrame, min_books: int = 6, min_share: float = 0.7
     # five standard errors below the share asked for, so that no pair is lost to the estimate
     slack = 5 * math.sqrt(min_share * (1 - min_share) / k)
     pairs = pairs.where(F.when(F.col("exact"), F.col("share") >= min_share - 1e-9).otherwise(F.col("share") >= min_share - slack))
-    pairs = pairs.select("a", "b", "n_a", "n_b", "union", "share", (F.col("union") * F.col("share")).alias("shared"), "exact")
+    pairs = cut(pairs.select("a", "b", "n_a", "n_b", "union", "share", (F.col("union") * F.col("share")).alias("shared"), "exact"))
     return pairs, classes, members.select("term", "book", "n")
 
 
