@@ -34,6 +34,13 @@ def _add(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return codes[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+def _joined(lists: Column) -> Column:
+    """One string a record, a third of the size of an array in a shuffle; a U+0000 within an item is left out."""
+    joined = F.array_join(lists, "\0")
+    clean = F.array_join(F.transform(lists, lambda x: F.replace(x, F.lit("\0"), F.lit(""))), "\0")
+    return F.when(F.instr(F.array_join(lists, ""), "\0") > 0, clean).otherwise(joined)
+
+
 def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, int]]:
     """The lists of each batch's records and how many. Rows come sorted by key, the latest of a key first."""
     last = None
@@ -45,7 +52,7 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, in
         new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
         new[0] = last is None or tuple(keys[0]) != last
         last = tuple(keys[-1])
-        yield batch.column(2).filter(pa.array(new)), int(new.sum())
+        yield pc.split_pattern(batch.column(2).filter(pa.array(new)), "\0"), int(new.sum())
 
 
 def _pairs(row: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +76,7 @@ def stripe_counts(token_lemmas: DataFrame) -> DataFrame:
     once in it; null and empty items do not count. Rows whose key is null are left out. An empty table gives no row.
     """
     rows = token_lemmas.where("lemmas is not null and s3_token_lemmas_key is not null and sent_ix is not null")
-    rows = rows.select(F.xxhash64("s3_token_lemmas_key").alias("k"), F.col("sent_ix").cast("bigint").alias("s"), F.col("loaded_at").alias("at"), "lemmas")
+    rows = rows.select(F.xxhash64("s3_token_lemmas_key").alias("k"), F.col("sent_ix").cast("bigint").alias("s"), F.col("loaded_at").alias("at"), _joined(F.col("lemmas")).alias("lemmas"))
     rows = rows.repartition("k", "s").sortWithinPartitions("k", "s", F.desc_nulls_last("at")).select("k", "s", "lemmas")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +208,8 @@ def cooccurrences(token_lemmas: DataFrame, min_records: int = 10, min_llr: float
 
     The stripes are written to the checkpoint folder once, then joined with the items' own counts.
     """
-    merged = cut(stripe_counts(token_lemmas))
+    counts = stripe_counts(token_lemmas)
+    merged = cut(counts.where((F.col("segment") < 0) | (F.col("n") >= min_records)))
     items = merged.where("segment = -1").select(F.col("a").alias("id"), "item", "n")
     records = merged.where("segment = -2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     pairs = merged.where(F.col("segment") >= 0).where(F.col("n") >= min_records).select("a", "b", F.col("n").alias("n_ab"))
