@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-from . import burst, dfr, leakage, norm, overlap, stripes
+from . import burst, dfr, leakage, norm, overlap, sentences, stripes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return norm.lookalike_pairs(table(spark, d, "book_terms"), table(spark, d, "documents"))
 
 
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"), with_text=False).drop("sent_ix")
+
+
 def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return burst.term_frequencies(table(spark, d, "book_terms"), table(spark, d, "corpus_terms"))
 
@@ -70,7 +78,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(p9_leaks(spark, d))
 
 
-_ALL = [p1_found, p1_scores, p2_found, p2_terms, p2_texts, p4_found, p4_frequencies, p6_found, p6_estimates, p7_found, p7_pairs, p9_found, p9_leaks]
+_ALL = [p1_found, p1_scores, p2_found, p2_terms, p2_texts, p3_found, p3_sentences, p4_found, p4_frequencies, p6_found, p6_estimates, p7_found, p7_pairs, p9_found, p9_leaks]
 
 
 def _sent(f: Query) -> Query:
