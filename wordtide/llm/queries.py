@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-from . import burst, dfr, leakage, norm, overlap, sentences, stripes
+from . import burst, dfr, leakage, norm, overlap, packing, sentences, splitting, stripes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return stripes.bound_items(table(spark, d, "token_lemmas"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"))
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -78,7 +82,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(p9_leaks(spark, d))
 
 
-_ALL = [p1_found, p1_scores, p2_found, p2_terms, p2_texts, p3_found, p3_sentences, p4_found, p4_frequencies, p6_found, p6_estimates, p7_found, p7_pairs, p9_found, p9_leaks]
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_documents(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_pieces(spark, d).where("piece_no = 0").select("doc_id")
+
+
+_ALL = [p1_found, p1_scores, p2_found, p2_terms, p2_texts, p3_found, p3_sentences, p4_found, p4_frequencies, p6_found, p6_estimates, p7_found, p7_pairs, p8_containers, p9_found, p9_leaks, p10_found, p10_pieces]
 
 
 def _sent(f: Query) -> Query:
