@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-from . import burst, dfr, leakage, norm, overlap, packing, sentences, splitting, stripes
+from . import burst, dfr, leakage, norm, overlap, packing, sentences, splitting, stripes, wrapper
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_frequencies(spark, d).where("mark is not null").select("term", "mark")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return wrapper.main_lines(table(spark, d, "book_pages"))
+
+
 def p6_estimates(spark: SparkSession, d: str) -> DataFrame:
     estimates = overlap.overlap_estimates(table(spark, d, "corpus_terms"))
     return estimates.select("term_a", "term_b", "n_a", "n_b", F.round("shared", 3).alias("shared"), F.round("share", 6).alias("share"))
@@ -90,7 +94,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_pieces(spark, d).where("piece_no = 0").select("doc_id")
 
 
-_ALL = [p1_found, p1_scores, p2_found, p2_terms, p2_texts, p3_found, p3_sentences, p4_found, p4_frequencies, p6_found, p6_estimates, p7_found, p7_pairs, p8_containers, p9_found, p9_leaks, p10_found, p10_pieces]
+_ALL = [p1_found, p1_scores, p2_found, p2_terms, p2_texts, p3_found, p3_sentences, p4_found, p4_frequencies, p5_found, p6_found, p6_estimates, p7_found, p7_pairs, p8_containers, p9_found, p9_leaks, p10_found, p10_pieces]
 
 
 def _sent(f: Query) -> Query:
