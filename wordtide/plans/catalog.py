@@ -4,16 +4,658 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import expressions as ex
+from ..functions import text, vectors
+from ..operators import alignment, books, describe, publish, scores, similarity, training
+from ..sources import readers, sinks
+from . import sql
+from .engine import drift
+from .settings import DEFAULT, SMALL, Settings
+from .ship import ship
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+WORD = ex.parse("t0007")
+SUM = ex.parse("t0007 + t0011")
+DIFFERENCE = ex.parse("t0007 - t0011")
+NESTED = ex.parse("t0007 + (t0011 - t0013)")
+PINNED = "gutenberg-1"
+
+
+def query(statement: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        name = f.__name__
+
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            ship(spark)
+            return f(spark, d)
+
+        _QUERIES[name] = run
+        if statement is not None:
+            _SQL[name] = statement
+        return f
+
+    return register
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return semantic_drift(spark, d)
+
+
+def six(c: Column | str) -> Column:
+    """Six decimals, without a negative zero."""
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def _books(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return books.embedding_books(readers.table(spark, d, "embeddings"))
+
+
+def _similar(spark: SparkSession, d: str, tree: ex.Tree = WORD, strategy: str = "native") -> tuple[DataFrame, DataFrame, DataFrame]:
+    matrix, counts = _books(spark, d)
+    return matrix, counts, similarity.similarities(matrix, similarity.query_vectors(matrix, {ex.serialise(tree): tree}), strategy)
+
+
+def _parts(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts)
+
+
+def _trees(*trees: ex.Tree) -> str:
+    return sql.query({ex.serialise(t): t for t in trees})
+
+
+# profiles
+
+
+@query(_parts(sql.BOOKS, _trees(WORD), sql.similar()) + " SELECT expr, book_id, term, round(m, 6) + 0.0 AS m FROM msim")
+def query_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Mean similarity of every term to a word, per book."""
+    means = similarity.mean_similarities(_similar(spark, d)[2])
+    return means.select("expr", "book_id", "term", six("m").alias("m"))
+
+
+@query(_parts(sql.BOOKS, _trees(NESTED), sql.similar()) + " SELECT expr, book_id, term, round(m, 6) + 0.0 AS m FROM msim")
+def query_similarity_arrow(spark: SparkSession, d: str) -> DataFrame:
+    """The same for a compound expression, multiplied in Arrow batches."""
+    means = similarity.mean_similarities(_similar(spark, d, NESTED, "arrow")[2])
+    return means.select("expr", "book_id", "term", six("m").alias("m"))
+
+
+@query(_parts(sql.BOOKS, _trees(WORD, NESTED), sql.similar()) + " SELECT expr, book_id, seed_ix, term, round(s, 6) + 0.0 AS s FROM sim")
+def batched_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Several expressions in one plan, seed by seed."""
+    matrix, _ = _books(spark, d)
+    q = similarity.query_vectors(matrix, {ex.serialise(t): t for t in (WORD, NESTED)})
+    return similarity.similarities(matrix, q).select("expr", "book_id", "seed_ix", "term", six("s").alias("s"))
+
+
+def _vectors(tree: ex.Tree) -> str:
+    return _parts(sql.BOOKS, _trees(tree)) + " SELECT book_id, seed_ix, (i - 1)::INT AS dim, round(qv[i], 6) + 0.0 AS x FROM q, (SELECT unnest(range(1, 17)) AS i)"
+
+
+def _vector(spark: SparkSession, d: str, tree: ex.Tree) -> DataFrame:
+    matrix, _ = _books(spark, d)
+    q = similarity.query_vectors(matrix, {ex.serialise(tree): tree})
+    return q.select("book_id", "seed_ix", F.posexplode("qv").alias("dim", "x")).withColumn("x", six("x"))
+
+
+@query(_vectors(SUM))
+def expr_add(spark: SparkSession, d: str) -> DataFrame:
+    return _vector(spark, d, SUM)
+
+
+@query(_vectors(DIFFERENCE))
+def expr_sub(spark: SparkSession, d: str) -> DataFrame:
+    return _vector(spark, d, DIFFERENCE)
+
+
+@query(_vectors(NESTED))
+def expr_nested(spark: SparkSession, d: str) -> DataFrame:
+    return _vector(spark, d, NESTED)
+
+
+# ranking and statistics
+
+
+@query(_parts(sql.BOOKS, _trees(WORD), sql.similar(), sql.centred()) + " SELECT book_id, term, round(position, 6) + 0.0 AS position FROM pos")
+def center_locally(spark: SparkSession, d: str) -> DataFrame:
+    rows = similarity.centred(similarity.mean_similarities(_similar(spark, d)[2]), DEFAULT)
+    return rows.select("book_id", "term", six("position").alias("position"))
+
+
+@query(_parts(sql.BOOKS, _trees(WORD), sql.similar(), sql.centred()) + " SELECT book_id, term, in_stable, in_unstable FROM pos")
+def topk_membership(spark: SparkSession, d: str) -> DataFrame:
+    rows = similarity.centred(similarity.mean_similarities(_similar(spark, d)[2]), DEFAULT)
+    return rows.select("book_id", "term", "in_stable", "in_unstable")
+
+
+_STATS = "term, n_books_in, n_books_as_top50, n_books_as_top100, round(stability, 6) + 0.0 AS stability, round(instability, 6) + 0.0 AS instability"
+
+
+def _statistics(rows: DataFrame) -> DataFrame:
+    return rows.select("term", "n_books_in", "n_books_as_top50", "n_books_as_top100", six("stability").alias("stability"), six("instability").alias("instability"))
+
+
+@query(_parts(sql.BOOKS, _trees(WORD), sql.similar(), sql.centred()) + f" SELECT {_STATS} FROM st")
+def term_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = similarity.centred(similarity.mean_similarities(_similar(spark, d)[2]), DEFAULT)
+    return _statistics(scores.term_statistics(rows))
+
+
+def _comparative(spark: SparkSession, d: str, settings: Settings, selected: str | None = None) -> DataFrame:
+    matrix, counts, similar = _similar(spark, d)
+    if selected:
+        similar = similar.where(F.col("book_id") != selected)
+    rows = scores.term_statistics(similarity.centred(similarity.mean_similarities(similar), settings))
+    own = matrix.where(F.col("book_id") == selected).select("term") if selected else None
+    return _statistics(scores.comparative_terms(rows, settings, own))
+
+
+@query(_parts(sql.BOOKS, _trees(WORD), sql.similar(), sql.centred(), sql.comparative()) + f" SELECT {_STATS} FROM comp")
+def comparative_terms_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return _comparative(spark, d, DEFAULT)
+
+
+@query(_parts(sql.BOOKS, _trees(WORD), sql.similar(books=f" AND nv.book_id <> '{PINNED}'"), sql.centred(), sql.comparative(selected=PINNED)) + f" SELECT {_STATS} FROM comp")
+def comparative_terms_pinned(spark: SparkSession, d: str) -> DataFrame:
+    return _comparative(spark, d, DEFAULT, PINNED)
+
+
+@query(_parts(sql.BOOKS, _trees(WORD), sql.similar(), sql.centred(SMALL), sql.comparative(SMALL)) + f" SELECT {_STATS} FROM comp")
+def comparative_terms_small(spark: SparkSession, d: str) -> DataFrame:
+    """With small constants, so that every gate binds."""
+    return _comparative(spark, d, SMALL)
+
+
+# joins
+
+
+@query(_parts(sql.BOOKS) + " SELECT a.book_id AS a, b.book_id AS b, count(*) AS n FROM raw a JOIN raw b ON a.term = b.term AND a.book_id <> b.book_id GROUP BY ALL")
+def shared_terms(spark: SparkSession, d: str) -> DataFrame:
+    return scores.shared_terms(_books(spark, d)[1]).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@query(
+    _parts(sql.BOOKS, "p AS (SELECT a.book_id, count(*) AS n FROM raw a JOIN raw b ON a.term = b.term AND a.book_id <> b.book_id GROUP BY a.book_id, b.book_id)")
+    + " SELECT book_id, coalesce(max(n), 0) AS n_shared_terms FROM (SELECT DISTINCT book_id FROM raw) LEFT JOIN p USING (book_id) GROUP BY book_id"
+)
+def n_shared_terms(spark: SparkSession, d: str) -> DataFrame:
+    counts = _books(spark, d)[1]
+    return scores.n_shared_terms(counts, counts.select("book_id").distinct())
+
+
+_ASKED = ["rent", "wage", "labour", "no such term"]
+
+
+@query(
+    _parts(sql.TERMS)
+    + f""" SELECT book_id, coalesce(string_agg(term, ',' ORDER BY term), '') AS missing FROM (SELECT DISTINCT book_id FROM bt)
+  LEFT JOIN (SELECT b.book_id, t.term FROM (SELECT DISTINCT book_id FROM bt) b, (SELECT unnest({sql.strings(_ASKED)}) AS term) t
+    WHERE NOT EXISTS (SELECT 1 FROM bt WHERE bt.book_id = b.book_id AND bt.term = t.term)) USING (book_id) GROUP BY book_id"""
+)
+def missing_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the asked terms each published book lacks."""
+    counts = books.current_terms(readers.table(spark, d, "book_terms"))
+    rows = scores.missing_terms(counts, counts.select("book_id").distinct(), _ASKED)
+    return rows.select("book_id", F.array_join("missing_terms", ",").alias("missing"))
+
+
+@query(_parts(sql.TERMS) + " SELECT book_id FROM bt WHERE term IN ('rent', 'wage') GROUP BY book_id HAVING count(DISTINCT term) = 2")
+def books_carrying_query(spark: SparkSession, d: str) -> DataFrame:
+    return scores.carrying(books.current_terms(readers.table(spark, d, "book_terms")), ["rent", "wage"])
+
+
+# scores
+
+
+@query(_parts(sql.BOOKS, _trees(WORD), sql.similar(), sql.anchors()) + " SELECT a, b, term, place FROM anch")
+def local_anchors(spark: SparkSession, d: str) -> DataFrame:
+    means = similarity.mean_similarities(_similar(spark, d)[2])
+    return scores.anchors(means).select("a", "b", "term", F.col("place").cast("bigint").alias("place"))
+
+
+@query(_parts(sql.BOOKS, _trees(WORD), sql.similar(), sql.anchors(), sql.local()) + " SELECT a, b, seed_ix, round(c, 6) + 0.0 AS c FROM loc")
+def local_similarity(spark: SparkSession, d: str) -> DataFrame:
+    similar = _similar(spark, d)[2]
+    return scores.local_similarities(similar, scores.anchors(similarity.mean_similarities(similar))).select("a", "b", "seed_ix", six("c").alias("c"))
+
+
+def _scores(spark: SparkSession, d: str, tree: ex.Tree, selected: str | None = None) -> DataFrame:
+    matrix, _, similar = _similar(spark, d, tree)
+    local = scores.local_similarities(similar, scores.anchors(similarity.mean_similarities(similar), DEFAULT, selected))
+    rows = scores.scores(local, scores.seed_counts(matrix), selected is not None)
+    return rows.select("book_id", six("mean_local_similarity").alias("mean_local_similarity"), six("ci_lo").alias("ci_lo"), six("ci_hi").alias("ci_hi"), "n_seeds", "n_books")
+
+
+def _scores_sql(tree: ex.Tree, selected: str | None = None) -> str:
+    return _parts(sql.BOOKS, _trees(tree), sql.similar(), sql.anchors(selected=selected), sql.local(), sql.scored(selected is not None)) + f" SELECT book_id, {sql.score_columns()} FROM score"
+
+
+@query(_scores_sql(WORD))
+def drift_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d, WORD)
+
+
+@query(_scores_sql(NESTED))
+def drift_corpus_nested(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d, NESTED)
+
+
+@query(_scores_sql(WORD, PINNED))
+def drift_pinned(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d, WORD, PINNED)
+
+
+@query(_scores_sql(NESTED, PINNED))
+def drift_pinned_nested(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d, NESTED, PINNED)
+
+
+@query(_parts(sql.TERMS) + " SELECT book_id, sum(count_)::BIGINT AS occurrences FROM bt WHERE term IN ('rent', 'wage', 'labour') GROUP BY book_id")
+def occurrences(spark: SparkSession, d: str) -> DataFrame:
+    leaves = spark.createDataFrame([("e", t) for t in ("rent", "wage", "labour", "rent")], "expr string, term string")
+    return scores.occurrences(books.current_terms(readers.table(spark, d, "book_terms")), leaves).select("book_id", "occurrences")
+
+
+def _flagship_sql(tree: ex.Tree, selected: str | None = None) -> str:
+    name, own = ex.serialise(tree), ex.leaves(tree)
+    others = f" AND nv.book_id <> '{selected}'" if selected else ""
+    every = "q2 AS (SELECT * FROM q UNION ALL SELECT term, [term], book_id, seed_ix, v FROM nv WHERE term IN (SELECT term FROM comp))"
+    leaf = f"leaf AS (SELECT {sql.text(name)} AS expr, unnest({sql.strings(own)}) AS term UNION ALL SELECT term, term FROM comp)"
+    occ = "occ AS (SELECT expr, book_id, sum(count_)::BIGINT AS occurrences FROM leaf JOIN raw USING (term) GROUP BY ALL)"
+    parts = _parts(sql.BOOKS, _trees(tree), sql.similar(books=others), sql.centred(), sql.comparative(selected=selected), every, sql.similar("q2", "sim2", "msim2"), sql.anchors(selected=selected, msim="msim2"), sql.local("sim2"), sql.scored(selected is not None), leaf, occ)
+    return parts + f""" SELECT expr, book_id, {sql.score_columns()}, coalesce(occurrences, 0) AS occurrences,
+  n_books_in, round(stability, 6) + 0.0 AS stability, round(instability, 6) + 0.0 AS instability
+  FROM score LEFT JOIN occ USING (expr, book_id) LEFT JOIN comp ON comp.term = score.expr"""
+
+
+def _flagship(spark: SparkSession, d: str, tree: ex.Tree, selected: int | None = None) -> DataFrame:
+    matrix, counts = _books(spark, d)
+    found = drift(matrix, counts, tree, [b for b in range(1, 6) if b != selected], selected)
+    schema = "expr string, n_books_in bigint, stability double, instability double"
+    stats = spark.createDataFrame([(c["term"], c["n_books_in"], c["stability"], c["instability"]) for c in found.comparative], schema)
+    rows = found.scores.join(stats, "expr", "left")
+    rounded = [six(c).alias(c) for c in ("mean_local_similarity", "ci_lo", "ci_hi")]
+    return rows.select("expr", "book_id", *rounded, "n_seeds", "n_books", "occurrences", "n_books_in", six("stability").alias("stability"), six("instability").alias("instability"))
+
+
+@query(_flagship_sql(WORD))
+def semantic_drift(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: a word and its comparative terms scored in every book against its peers."""
+    return _flagship(spark, d, WORD)
+
+
+@query(_flagship_sql(NESTED, PINNED))
+def semantic_drift_pinned(spark: SparkSession, d: str) -> DataFrame:
+    """A compound expression and its comparative terms, every book against one."""
+    return _flagship(spark, d, NESTED, 1)
+
+
+@query(
+    _parts(sql.BOOKS, _trees(WORD), sql.similar(), sql.centred(), sql.comparative(), "asked AS (SELECT 't0007' AS term UNION SELECT term FROM comp)",
+           "n AS (SELECT a.book_id, count(*) AS n FROM raw a JOIN raw b ON a.term = b.term AND a.book_id <> b.book_id GROUP BY a.book_id, b.book_id)")
+    + """ SELECT book_id, max(n) AS n_shared_terms, (SELECT count(*) FROM asked WHERE NOT EXISTS (SELECT 1 FROM raw WHERE raw.book_id = n.book_id AND raw.term = asked.term)) AS n_missing
+  FROM n GROUP BY book_id"""
+)
+def drift_roster(spark: SparkSession, d: str) -> DataFrame:
+    """Per book of the flagship its largest shared vocabulary and how many of the scored terms it lacks."""
+    matrix, counts = _books(spark, d)
+    roster = drift(matrix, counts, WORD, [1, 2, 3, 4, 5]).roster
+    return roster.select("book_id", "n_shared_terms", F.size("missing_terms").cast("bigint").alias("n_missing"))
+
+
+@query()
+def published_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Drift over the published books' own half-precision vectors, for the books richest in terms."""
+    matrix, counts = books.term_books(readers.table(spark, d, "book_terms"))
+    rich = counts.where(F.col("term") == "rent").select("book_id").join(counts.groupBy("book_id").agg(F.count("*").alias("n")), "book_id").orderBy(F.desc("n"), "book_id").limit(6)
+    ids = [int(r.book_id.rpartition("-")[2]) for r in rich.select("book_id").collect()]
+    found = drift(matrix, counts, ex.parse("rent"), ids, None, Settings(anchors=10, centre=10, stable_rank=10, unstable_rank=20))
+    rounded = [six(c).alias(c) for c in ("mean_local_similarity", "ci_lo", "ci_hi")]
+    return found.scores.select("expr", "book_id", *rounded, "n_seeds", "n_books", "occurrences")
+
+
+# list queries and filters
+
+
+@query(_parts(sql.PIPELINE) + """ SELECT split_part(book_id, '-', -1)::BIGINT AS id, split_part(author, ',', 1) || ' (' || published_year || ')' AS label,
+  author, title, published_year FROM pipe WHERE s3_prefix_models IS NOT NULL AND published_year IS NOT NULL""")
+def books_list(spark: SparkSession, d: str) -> DataFrame:
+    return books.books_list(readers.table(spark, d, "pipeline"))
+
+
+_ALIGNED_TERMS = f"""altm AS (SELECT book_id, term FROM bt WHERE {sql.NOT_ADVERB} AND book_id IN (SELECT book_id FROM pipe WHERE s3_prefix_models IS NOT NULL))"""
+
+
+@query(_parts(sql.PIPELINE, sql.TERMS, _ALIGNED_TERMS) + """ SELECT term, count(*)::INT AS n_books,
+  string_agg(split_part(book_id, '-', -1), ',' ORDER BY split_part(book_id, '-', -1)::BIGINT) AS books FROM altm GROUP BY term HAVING count(*) > 1""")
+def terms_list(spark: SparkSession, d: str) -> DataFrame:
+    rows = books.terms_list(readers.table(spark, d, "book_terms"), readers.table(spark, d, "pipeline"))
+    return rows.withColumn("books", F.array_join(F.col("books").cast("array<string>"), ","))
+
+
+@query(_parts(sql.PIPELINE, sql.TERMS, _ALIGNED_TERMS) + " SELECT DISTINCT term FROM altm")
+def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return books.vocabulary(readers.table(spark, d, "book_terms"), readers.table(spark, d, "pipeline"))
+
+
+@query(_parts(sql.TERMS) + f" SELECT book_id, count(*) AS terms, count(*) FILTER ({sql.NOT_ADVERB}) AS kept, count(*) FILTER ({sql.NOT_ADVERB} AND vectors IS NOT NULL) AS usable FROM bt GROUP BY book_id")
+def term_filters(spark: SparkSession, d: str) -> DataFrame:
+    """How many terms of each book pass the adverb filter, and the vector filter after it."""
+    rows = books.current_terms(readers.table(spark, d, "book_terms"))
+    kept = books.not_adverb_only(F.col("tags"))
+    return rows.groupBy("book_id").agg(F.count("*").alias("terms"), F.count_if(kept).alias("kept"), F.count_if(kept & F.col("vectors").isNotNull()).alias("usable"))
+
+
+@query(_parts(sql.PIPELINE) + """ SELECT book_id, s3_text_key IS NULL AS to_scrape,
+  s3_token_texts_key IS NULL OR s3_token_lemmas_key IS NULL OR s3_token_tags_key IS NULL AS to_tokenize, s3_metadata_key IS NOT NULL AS publishable FROM pipe""")
+def stage_skips(spark: SparkSession, d: str) -> DataFrame:
+    """Which stages still have work on each book; a stage that has run is skipped."""
+    rows = books.current_pipeline(readers.table(spark, d, "pipeline"))
+    lacks = F.col("s3_token_texts_key").isNull() | F.col("s3_token_lemmas_key").isNull() | F.col("s3_token_tags_key").isNull()
+    return rows.select("book_id", F.col("s3_text_key").isNull().alias("to_scrape"), lacks.alias("to_tokenize"), F.col("s3_metadata_key").isNotNull().alias("publishable"))
+
+
+# gets and sources
+
+
+@query("SELECT term, count_, epoch_us(published_at) AS published_us FROM book_terms WHERE book_id = 'gutenberg-9000007'")
+def point_get(spark: SparkSession, d: str) -> DataFrame:
+    """One book's term rows, columns and key pushed to the scan."""
+    return readers.get(readers.table(spark, d, "book_terms"), {"book_id": "gutenberg-9000007"}, ["term", "count_", F.unix_micros("published_at").alias("published_us")])
+
+
+@query("SELECT book_id, term, count_ FROM book_terms WHERE (book_id, term) IN (SELECT (book_id, 'rent') FROM pipeline)")
+def batch_get(spark: SparkSession, d: str) -> DataFrame:
+    keys = readers.table(spark, d, "pipeline").select("book_id", F.lit("rent").alias("term"))
+    return readers.get_many(readers.table(spark, d, "book_terms"), keys, ["book_id", "term", "count_"])
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.page'), json_extract_string(props, '$.k')) AS value FROM events")
+def event_payload(spark: SparkSession, d: str) -> DataFrame:
+    """A field of an event's JSON, wherever it lies."""
+    rows = readers.table(spark, d, "events")
+    return rows.select("event_id", F.coalesce(F.get_json_object("props", "$.page"), F.get_json_object("props", "$.k")).alias("value"))
+
+
+@query()
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    return readers.texts_of_pages(readers.table(spark, d, "book_pages"), "page_id")
+
+
+@query()
+def metadata_parse(spark: SparkSession, d: str) -> DataFrame:
+    return readers.metadata_of_pages(readers.table(spark, d, "book_pages"), "page_id")
+
+
+# text
+
+
+@query(r"SELECT doc_id, (ix - 1)::INT AS sent_ix, sentence FROM (SELECT doc_id, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS ix FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*') AS s FROM documents))")
+def sentences(spark: SparkSession, d: str) -> DataFrame:
+    rows = readers.table(spark, d, "documents")
+    return rows.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sent_ix", "sentence"))
+
+
+@query(r"""SELECT token, count(*) AS n FROM (SELECT replace(lower(regexp_replace(w, '[^\p{L}]', '', 'g')), 'labor', 'labour') AS token
+  FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents WHERE lang = 'en') WHERE w <> '') GROUP BY token""")
+def clean_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned and respelled tokens of the English passages, the empty token included."""
+    rows = readers.table(spark, d, "documents").where("lang = 'en'")
+    tokens = rows.select(F.explode(text.words(F.col("text"))).alias("w")).select(text.respell(text.clean(F.col("w"))).alias("token"))
+    return tokens.groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(_parts(sql.SENTENCES) + r""" SELECT book_id, sent_ix, array_to_string(w, ' ') AS words FROM (SELECT book_id, sent_ix,
+  list_filter(lemmas, lambda x: regexp_matches(x, '^\p{L}+$') AND length(x) > 3) AS w FROM sent) WHERE len(w) > 0""")
+def training_sentences(spark: SparkSession, d: str) -> DataFrame:
+    rows = training.training_sentences(readers.table(spark, d, "token_lemmas"))
+    return rows.select("book_id", "sent_ix", F.array_join("words", " ").alias("words"))
+
+
+@query(_parts(sql.SENTENCES) + r""" SELECT book_id, term, count(*) AS count_ FROM (SELECT book_id, unnest(lemmas) AS term FROM sent)
+  WHERE regexp_matches(term, '^\p{L}+$') AND length(term) > 3 GROUP BY ALL HAVING count(*) >= 10""")
+def term_counts(spark: SparkSession, d: str) -> DataFrame:
+    return publish.term_counts(readers.table(spark, d, "token_lemmas"))
+
+
+@query(_parts(sql.SENTENCES) + """, n AS (SELECT book_id, sent_ix, lemmas, coalesce(sum(len(lemmas)) OVER (PARTITION BY book_id ORDER BY sent_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM sent)
+  SELECT book_id, lemma, count(*) AS n, min(iloc)::BIGINT AS first_iloc, max(iloc)::BIGINT AS last_iloc, sum(iloc)::BIGINT AS sum_iloc FROM
+  (SELECT book_id, unnest(lemmas) AS lemma, first + unnest(range(len(lemmas))) AS iloc FROM n) WHERE lemma <> '' GROUP BY ALL""")
+def term_ilocs(spark: SparkSession, d: str) -> DataFrame:
+    """Every lemma's places in its book, summed up."""
+    rows = publish.positions(readers.table(spark, d, "token_lemmas"))
+    return rows.groupBy("book_id", "lemma").agg(F.count("*").alias("n"), F.min("iloc").alias("first_iloc"), F.max("iloc").alias("last_iloc"), F.sum("iloc").alias("sum_iloc"))
+
+
+@query(_parts(sql.SENTENCES) + """, z AS (SELECT book_id, unnest(list_zip(lemmas, coalesce(tags, []))[1 : least(len(lemmas), coalesce(len(tags), 0))]) AS t FROM sent),
+  y AS (SELECT book_id, t[1] AS term, t[2] AS tag FROM z)
+  SELECT book_id, term, string_agg(DISTINCT tag[1], ',' ORDER BY tag[1]) AS tags FROM y
+  WHERE term <> '' AND (tag[1] IN ('N', 'V', 'J') OR contains(tag, 'RB')) GROUP BY ALL""")
+def term_tags(spark: SparkSession, d: str) -> DataFrame:
+    rows = publish.term_tags(readers.table(spark, d, "token_lemmas"))
+    return rows.select("book_id", "term", F.array_join("tags", ",").alias("tags"))
+
+
+# publishing
+
+
+@query("SELECT term, string_agg(b, ',' ORDER BY b) AS book_ids, count(b)::INT AS book_count FROM (SELECT DISTINCT term, book_id AS b FROM book_terms) WHERE term IS NOT NULL AND b IS NOT NULL GROUP BY term")
+def corpus_terms_built(spark: SparkSession, d: str) -> DataFrame:
+    rows = publish.corpus_terms(readers.table(spark, d, "book_terms"))
+    return rows.select("term", F.array_join("book_ids", ",").alias("book_ids"), "book_count")
+
+
+_MERGED = """m AS (SELECT term, coalesce(list(b ORDER BY b) FILTER (b IS NOT NULL), []) AS book_ids FROM
+  (SELECT DISTINCT term, b FROM (SELECT term, unnest(CASE WHEN len(book_ids) > 0 THEN book_ids ELSE [NULL] END) AS b FROM corpus_terms WHERE term IS NOT NULL)) GROUP BY term)"""
+_HOT = "gutenberg-9000007"
+
+
+@query(f"WITH {_MERGED} SELECT term, array_to_string(book_ids, ',') AS book_ids, len(book_ids)::INT AS n FROM m")
+def corpus_terms_merged(spark: SparkSession, d: str) -> DataFrame:
+    """One row per term: the union of all its batches."""
+    rows = publish.merged_corpus(readers.table(spark, d, "corpus_terms"))
+    return rows.select("term", F.array_join("book_ids", ",").alias("book_ids"), F.size("book_ids").alias("n"))
+
+
+@query(f"""WITH {_MERGED}, t AS (SELECT DISTINCT term FROM book_terms WHERE book_id = '{_HOT}' UNION SELECT 'a new term')
+  SELECT term, len(list_distinct(CASE WHEN t.term IS NULL THEN coalesce(book_ids, []) ELSE list_append(coalesce(book_ids, []), '{_HOT}') END))::INT AS n FROM m FULL JOIN t USING (term)""")
+def corpus_terms_added(spark: SparkSession, d: str) -> DataFrame:
+    merged = publish.merged_corpus(readers.table(spark, d, "corpus_terms"))
+    own = readers.table(spark, d, "book_terms").where(F.col("book_id") == _HOT).select("term")
+    rows = publish.add_book(merged, _HOT, own.unionByName(spark.createDataFrame([("a new term",)], "term string")))
+    return rows.select("term", F.size("book_ids").alias("n"))
+
+
+@query(f"WITH {_MERGED} SELECT term, len(list_filter(book_ids, lambda x: x <> '{_HOT}'))::INT AS n FROM m")
+def corpus_terms_removed(spark: SparkSession, d: str) -> DataFrame:
+    merged = publish.merged_corpus(readers.table(spark, d, "corpus_terms"))
+    return publish.remove_book(merged, _HOT).select("term", F.size("book_ids").alias("n"))
+
+
+@query(f"""WITH {_MERGED}, t AS (SELECT DISTINCT term FROM book_terms WHERE book_id = '{_HOT}'),
+  x AS (SELECT term, t.term IS NOT NULL AS gone, CASE WHEN t.term IS NULL THEN book_ids ELSE list_filter(book_ids, lambda x: x <> '{_HOT}') END AS b FROM m LEFT JOIN t USING (term))
+  SELECT term, len(b)::INT AS n FROM x WHERE NOT gone OR len(b) > 0""")
+def corpus_terms_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """A book's terms taken from the corpus; sets that are empty then go."""
+    merged = publish.merged_corpus(readers.table(spark, d, "corpus_terms"))
+    own = readers.table(spark, d, "book_terms").where(F.col("book_id") == _HOT).select("term")
+    return publish.remove_book_terms(merged, _HOT, own).select("term", F.size("book_ids").alias("n"))
+
+
+@query(_parts(sql.TERMS) + """ SELECT DISTINCT o.book_id, o.term FROM book_terms o WHERE o.book_id IN (SELECT book_id FROM bt WHERE count_ >= 20)
+  AND NOT EXISTS (SELECT 1 FROM bt n WHERE n.count_ >= 20 AND n.book_id = o.book_id AND n.term = o.term)""")
+def deprecated_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms that go if every book is published anew with its more frequent terms."""
+    rows = readers.table(spark, d, "book_terms")
+    return publish.deprecated(rows, books.current_terms(rows).where("count_ >= 20"))
+
+
+@query("""SELECT book_id, count(*) AS terms, sum(count_)::BIGINT AS total FROM (SELECT book_id, term, count_ FROM book_terms
+  QUALIFY row_number() OVER (PARTITION BY book_id, term ORDER BY published_at DESC NULLS LAST, count_ DESC NULLS LAST) = 1) GROUP BY book_id""")
+def batch_put(spark: SparkSession, d: str) -> DataFrame:
+    """The table after all its rows were put one after the other, by key and time."""
+    rows = readers.table(spark, d, "book_terms").select("book_id", "term", "count_", "published_at")
+    now = books.latest(rows, ["book_id", "term"], "published_at", ["count_"])
+    return now.groupBy("book_id").agg(F.count("*").alias("terms"), F.sum("count_").alias("total"))
+
+
+@query("""SELECT b.book_id, p.book_id IS NULL AS inserted FROM (SELECT DISTINCT book_id FROM (SELECT book_id FROM book_terms UNION ALL SELECT 'gutenberg-1'))  b
+  LEFT JOIN (SELECT DISTINCT book_id FROM pipeline WHERE title IS NOT NULL) p USING (book_id)""")
+def conditional_insert(spark: SparkSession, d: str) -> DataFrame:
+    new = readers.table(spark, d, "book_terms").select("book_id").unionByName(spark.createDataFrame([("gutenberg-1",)], "book_id string"))
+    return sinks.inserted(readers.table(spark, d, "pipeline").where("title is not null").select("book_id"), new, ["book_id"])
+
+
+@query(_parts(sql.PIPELINE) + """, c AS (SELECT book_id, max(scraped_at) AS updated_at FROM documents GROUP BY book_id)
+  SELECT book_id, title, epoch_us(coalesce(c.updated_at, pipe.updated_at)) AS updated_us FROM pipe FULL JOIN c USING (book_id)""")
+def field_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A field set from another table; books that are new get a row."""
+    rows = books.current_pipeline(readers.table(spark, d, "pipeline")).select("book_id", "title", "updated_at")
+    changes = readers.table(spark, d, "documents").groupBy("book_id").agg(F.max("scraped_at").alias("updated_at"))
+    return sinks.update_fields(rows, changes, ["book_id"]).select("book_id", "title", F.unix_micros("updated_at").alias("updated_us"))
+
+
+_HALF = """CASE WHEN x = 0 THEN 0 ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END"""
+
+
+@query(_parts(sql.BOOKS) + f" SELECT book_id, term, seed_ix, i::INT AS dim, {_HALF} + 0.0 AS x FROM (SELECT book_id, term, seed_ix, unnest(range(16)) AS i, unnest(w) AS x FROM cut)")
+def float16_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Every component as half precision stores it."""
+    rows = readers.table(spark, d, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("p", "x"))
+    book = F.concat(F.lit("gutenberg-"), (F.col("vec_id") % 5 + 1).cast("string")).alias("book_id")
+    term = F.format_string("t%04d", F.expr("vec_id div 5")).alias("term")
+    return rows.select(book, term, F.expr("p div 16").cast("int").alias("seed_ix"), (F.col("p") % 16).alias("dim"), (vectors.to_half(F.col("x")) + F.lit(0.0)).alias("x"))
+
+
+def _nibble(place: str) -> str:
+    return f"(instr('0123456789ABCDEF', substr(h, {place}, 1)) - 1)"
+
+
+@query(
+    _parts(sql.TERMS)
+    + f""", b AS (SELECT book_id, term, unnest(range(len(vectors)))::INT AS seed_ix, hex(unnest(vectors)) AS h FROM bt WHERE vectors IS NOT NULL),
+  c AS (SELECT *, unnest(range(length(h) // 4)) AS i FROM b),
+  y AS (SELECT *, {_nibble('4 * i + 1')} * 16 + {_nibble('4 * i + 2')} AS lo, {_nibble('4 * i + 3')} * 16 + {_nibble('4 * i + 4')} AS hi FROM c)
+  SELECT book_id, term, seed_ix, i::INT AS dim, (CASE WHEN hi >= 128 THEN -1.0 ELSE 1.0 END * CASE WHEN (hi % 128) // 4 = 0 THEN ((hi % 4) * 256 + lo) * pow(2.0, -24)
+    ELSE (1 + ((hi % 4) * 256 + lo) / 1024.0) * pow(2.0, (hi % 128) // 4 - 15) END)::DOUBLE + 0.0 AS x FROM y"""
+)
+def float16_decode(spark: SparkSession, d: str) -> DataFrame:
+    """The published vectors, decoded from their bytes."""
+    rows = books.with_vectors(books.current_terms(readers.table(spark, d, "book_terms")))
+    each = rows.select("book_id", "term", F.posexplode("vectors").alias("seed_ix", "b"))
+    return each.select("book_id", "term", "seed_ix", F.posexplode(vectors.from_half_bytes(F.col("b"))).alias("dim", "x")).withColumn("x", F.col("x") + F.lit(0.0))
+
+
+@query(_parts(sql.SENTENCES, sql.TERMS) + r""", c AS (SELECT book_id, term, count(*) AS n FROM (SELECT book_id, unnest(lemmas) AS term FROM sent) WHERE regexp_matches(term, '^\p{L}+$') AND length(term) > 3 GROUP BY ALL),
+  z AS (SELECT book_id, unnest(list_zip(lemmas, coalesce(tags, []))[1 : least(len(lemmas), coalesce(len(tags), 0))]) AS t FROM sent),
+  g AS (SELECT book_id, t[1] AS term, string_agg(DISTINCT t[2][1], ',' ORDER BY t[2][1]) AS pos FROM z WHERE t[1] <> '' AND (t[2][1] IN ('N', 'V', 'J') OR contains(t[2], 'RB')) GROUP BY ALL)
+  SELECT book_id, term, n AS count_, pos, array_to_string(seeds, ',') AS seeds, len(vectors)::INT AS n_vectors FROM c JOIN g USING (book_id, term) JOIN bt USING (book_id, term) WHERE vectors IS NOT NULL""")
+def book_terms_row(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, tags and vectors of a book's terms joined into the rows that are published."""
+    lemmas = readers.table(spark, d, "token_lemmas")
+    stack = books.with_vectors(books.current_terms(readers.table(spark, d, "book_terms"))).select("book_id", "term", "seeds", "vectors")
+    rows = publish.term_counts(lemmas, 1).join(publish.term_tags(lemmas), ["book_id", "term"]).join(stack, ["book_id", "term"])
+    return rows.select("book_id", "term", "count_", F.array_join("tags", ",").alias("pos"), F.array_join(F.col("seeds").cast("array<string>"), ",").alias("seeds"), F.size("vectors").alias("n_vectors"))
+
+
+@query(_parts(sql.PIPELINE) + " SELECT book_id, array_to_string(CASE WHEN author IS NULL THEN [] ELSE string_split(author, ', ') END, ';') AS author, title FROM pipe WHERE s3_metadata_key IS NOT NULL")
+def metadata_publish(spark: SparkSession, d: str) -> DataFrame:
+    """Author and title as published from a book's metadata map."""
+    rows = books.current_pipeline(readers.table(spark, d, "pipeline")).where("s3_metadata_key is not null")
+    empty = F.array().cast("array<string>")
+    known = F.map_from_arrays(F.array(F.lit("author"), F.lit("title")), F.array(F.coalesce(F.split("author", ", "), empty), F.when(F.col("title").isNull(), empty).otherwise(F.array("title"))))
+    author, title = publish.metadata_row(F.col("m"))
+    return rows.select("book_id", known.alias("m")).select("book_id", author.alias("author"), title.alias("title"))
+
+
+@query(_parts(sql.BOOKS) + " SELECT book_id || '::' || term AS id, split_part(book_id, '-', 2)::BIGINT AS source_id, count_::INT AS vector_count, 1 AS pos_count FROM raw")
+def vector_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of a vector index, their vectors checked for size."""
+    matrix, counts = _books(spark, d)
+    rows = matrix.where("seed_ix = 0").select("book_id", "term", F.col("v").alias("vector")).join(counts, ["book_id", "term"])
+    entries = publish.vector_entries(rows, 16).where("size(vector) = 16")
+    book, _ = text.split_vector_id(F.col("id"))
+    return entries.select("id", text.source_id(book).alias("source_id"), "vector_count", "pos_count")
+
+
+@query(
+    _parts(sql.BOOKS, "dm AS (SELECT term, i, avg(v[i]) AS x FROM nv, (SELECT unnest(range(1, 17)) AS i) WHERE book_id = 'gutenberg-1' GROUP BY ALL)",
+           "mv AS (SELECT term, list(x ORDER BY i) AS w FROM dm GROUP BY term)", "un AS (SELECT term, list_transform(w, lambda x: x / greatest(sqrt(list_dot_product(w, w)), 1e-12)) AS v FROM mv)")
+    + """ SELECT un.term, round(list_dot_product(un.v, o.v), 6) + 0.0 AS score, count_ AS vector_count FROM un, (SELECT v FROM un WHERE term = 't0007') o
+  JOIN raw ON raw.book_id = 'gutenberg-1' AND raw.term = un.term WHERE NOT (tags = ['R']) ORDER BY score DESC, un.term LIMIT 20"""
+)
+def vector_query_book(spark: SparkSession, d: str) -> DataFrame:
+    """A book's terms nearest to one of its terms: a top-k report."""
+    matrix, counts = _books(spark, d)
+    return similarity.nearest(matrix, counts, "gutenberg-1", "t0007", 20).select("term", six("score").alias("score"), "vector_count")
+
+
+# training and alignment
+
+
+def _seed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _books(spark, d)[0].select("book_id", F.col("seed_ix").alias("seed"), "term", "v")
+
+
+@query(_parts(sql.BOOKS) + " SELECT book_id, term, (i - 1)::INT AS dim, round(avg(v[i]), 6) + 0.0 AS x FROM nv, (SELECT unnest(range(1, 17)) AS i) GROUP BY ALL")
+def centroid_mean(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.centroids(_seed_vectors(spark, d)).select("book_id", "term", F.col("d").alias("dim"), six("x").alias("x"))
+
+
+@query()
+def gpa_align(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.aligned_models(_seed_vectors(spark, d), max_iterations=400)
+
+
+@query()
+def alignment_stats(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.term_statistics(_seed_vectors(spark, d), max_iterations=400).drop("vector")
+
+
+@query()
+def alignment_fit_by_count(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.fit_by_count(alignment.term_statistics(_seed_vectors(spark, d), max_iterations=400), _books(spark, d)[1])
+
+
+@query()
+def train_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Two seed models of the largest book, of few dimensions and epochs."""
+    sentences_ = training.training_sentences(readers.table(spark, d, "token_lemmas"))
+    return training.train_book(sentences_, _HOT, [0, 1], size=16, min_count=5, epochs=2, sample=None)
+
+
+@query()
+def pipeline_align(spark: SparkSession, d: str) -> DataFrame:
+    """Train, align and describe the largest book: the stages one after the other."""
+    return alignment.term_statistics(train_vectors(spark, d), max_iterations=400).drop("vector")
+
+
+# describing
+
+
+@query(_parts(sql.PIPELINE, sql.TERMS, _ALIGNED_TERMS) + " SELECT a.term, a.term IN (SELECT term FROM altm) AS known FROM (SELECT unnest(['rent', 'wage', 'no such term']) AS term) a")
+def resolve_exact(spark: SparkSession, d: str) -> DataFrame:
+    known = vocabulary(spark, d)
+    asked = spark.createDataFrame([("rent",), ("wage",), ("no such term",)], "term string")
+    return asked.join(known.withColumn("k", F.lit(True)), "term", "left").select("term", F.col("k").isNotNull().alias("known"))
+
+
+@query()
+def resolve_close(spark: SparkSession, d: str) -> DataFrame:
+    """The entries most like a misspelt term, a top-k report."""
+    found = describe.alike(vocabulary(spark, d), "labor", 20, 0.3)
+    return spark.createDataFrame(list(enumerate(found)), "place int, term string")
