@@ -22,7 +22,7 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
 
 def sentence_rows(spark: SparkSession, path: str) -> DataFrame:
     """(path, sent_ix, tokens) of CSV files with one sentence a line, each of its own length; quoted fields allowed."""
-    lines = objects(spark, path).select("path", F.posexplode(F.split(F.rtrim("text"), r"\r?\n")).alias("sent_ix", "line"))
+    lines = objects(spark, path).select("path", F.posexplode(F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n")).alias("sent_ix", "line"))
     fields = F.split("line", ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
     plain = F.transform(fields, lambda x: F.replace(F.regexp_replace(x, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
     return lines.select("path", "sent_ix", plain.alias("tokens"))
