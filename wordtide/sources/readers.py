@@ -50,7 +50,7 @@ def get_many(rows: DataFrame, keys: DataFrame, fields: Sequence[str] | None = No
 def book_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """(source_id): distinct books that pages link to as /ebooks/<number>."""
     ids = F.explode(F.regexp_extract_all(html, F.lit(r"/ebooks/(\d+)"), F.lit(1)))
-    return pages.select(ids.cast("bigint").alias("source_id")).distinct()
+    return pages.select(ids.alias("i")).select(F.col("i").cast("bigint").alias("source_id")).distinct()
 
 
 def texts_of_pages(pages: DataFrame, key: str) -> DataFrame:
