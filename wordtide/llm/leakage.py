@@ -9,7 +9,6 @@ verified by the weighted similarity of their five-word shingles; equal windows a
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -69,58 +68,73 @@ def fingerprints(numbers: np.ndarray, vectors: np.ndarray, window: int = WINDOW)
     return np.packbits((sums[window:] - sums[:-window]) > 0, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def _keys(prints: np.ndarray) -> Iterator[np.ndarray]:
-    """The values under each of the ten pairs of blocks."""
-    at, parts = 0, []
-    for bits in BLOCKS:
-        parts.append((prints >> np.uint64(at)) & np.uint64((1 << bits) - 1))
-        at += bits
-    for i, j in combinations(range(len(BLOCKS)), 2):
-        yield (parts[i] << np.uint64(BLOCKS[j])) | parts[j]
-
-
 class Index:
-    """Fingerprints of the items' windows under every pair of blocks. Bitmaps of folded keys turn most windows away."""
+    """Fingerprints of the items' windows under every pair of blocks. A table of folded keys turns most windows away."""
 
-    FOLD = 22
+    FOLD = 20
 
     def __init__(self, prints: np.ndarray) -> None:
         self.prints = prints
         self.tables, self.maps = [], []
-        for key in _keys(prints):
+        parts = self._parts(prints)
+        for i, j in combinations(range(len(BLOCKS)), 2):
+            key = (parts[i].astype(np.int64) << BLOCKS[j]) | parts[j]
             order = np.argsort(key, kind="stable")
-            self.tables.append((key[order], order))
             seen = np.zeros(1 << self.FOLD, dtype=bool)
-            seen[self._fold(key)] = True
-            self.maps.append(np.packbits(seen))
+            seen[parts[i] ^ (parts[j] << (self.FOLD - 13))] = True
+            self.tables.append((key[order], order))
+            self.maps.append(seen)
 
-    def _fold(self, key: np.ndarray) -> np.ndarray:
-        return ((key ^ (key >> np.uint64(self.FOLD))) & np.uint64((1 << self.FOLD) - 1)).astype(np.int64)
+    @staticmethod
+    def _parts(prints: np.ndarray) -> list[np.ndarray]:
+        at, parts = 0, []
+        for bits in BLOCKS:
+            parts.append(((prints >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int32))
+            at += bits
+        return parts
 
     def near(self, prints: np.ndarray) -> np.ndarray:
         """Rows (position in prints, position in the index) with at most RADIUS bits between."""
         found = []
-        for key, seen, (keys, order) in zip(_keys(prints), self.maps, self.tables):
-            at = self._fold(key)
-            maybe = np.flatnonzero((seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+        parts = self._parts(prints)
+        raised = [x << (self.FOLD - 13) for x in parts]
+        for (i, j), seen, (keys, order) in zip(combinations(range(len(BLOCKS)), 2), self.maps, self.tables):
+            maybe = np.flatnonzero(seen.take(parts[i] ^ raised[j]))
             if len(maybe):
-                low, high = np.searchsorted(keys, key[maybe], "left"), np.searchsorted(keys, key[maybe], "right")
+                key = (parts[i][maybe].astype(np.int64) << BLOCKS[j]) | parts[j][maybe]
+                low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 n = high - low
-                if n.sum():
+                if n.any():
                     left = np.repeat(maybe, n)
                     right = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
                     close = np.bitwise_count(prints[left] ^ self.prints[right]) <= RADIUS
-                    found.append(np.stack([left[close], right[close]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+                    found.append((left[close] << 32) | right[close])
+        both = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+        return np.stack([both >> 32, both & 0xFFFFFFFF], axis=1)
+
+
+def shingles(numbers: np.ndarray) -> np.ndarray:
+    """A hash of the five words from each word on."""
+    out = np.zeros(max(0, len(numbers) - SHINGLE + 1), dtype=np.uint64)
+    for k in range(SHINGLE):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + numbers[k : k + len(out)].astype(np.uint64) + np.uint64(1)
+    return out
+
 
+def _counted(rows: np.ndarray) -> np.ndarray:
+    """Each value of a row with how many times it stood before in the row, so that rows of values become sets."""
+    same = rows[:, :, None] == rows[:, None, :]
+    before = np.tril(np.ones(same.shape[1:], dtype=bool), -1)
+    return rows + (same & before).sum(axis=2).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
-def similarity(a: list[str], b: list[str]) -> float:
-    """Weighted similarity of five-word shingles: shared weight over joint weight, a shingle weighing as often as it stands."""
-    if a == b:
-        return 1.0
-    x = Counter(tuple(a[i : i + SHINGLE]) for i in range(max(1, len(a) - SHINGLE + 1)))
-    y = Counter(tuple(b[i : i + SHINGLE]) for i in range(max(1, len(b) - SHINGLE + 1)))
-    return (x & y).total() / max(1, (x | y).total())
+
+def similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weighted similarity of rows of shingles: shared weight over joint weight, a shingle weighing as often as it stands."""
+    if not len(a):
+        return np.zeros(0)
+    x, y = _counted(a), _counted(b)
+    shared = (x[:, :, None] == y[:, None, :]).any(axis=2).sum(axis=1)
+    return shared / (2 * a.shape[1] - shared)
 
 
 def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
@@ -154,45 +168,59 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _search(block: list[tuple[int, list[str]]]):  # noqa: ANN202
+    item_ids = np.array([i for i, _ in block], dtype=np.int64)
+    sizes = [len(words) for _, words in block]
+    # an item's windows: which item, and where each begins among all items' words
+    owner = np.repeat(np.arange(len(block)), [n - WINDOW + 1 for n in sizes])
+    begin = np.concatenate([np.arange(n - WINDOW + 1) + at for n, at in zip(sizes, np.cumsum(sizes) - sizes)])
+    inside, parts = np.arange(WINDOW), np.arange(WINDOW - SHINGLE + 1)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon()
-        prints, owner = [], []
-        for k, (_, words) in enumerate(block):
-            prints.append(fingerprints(np.array([lexicon[w] for w in words]), lexicon.vectors))
-            owner += [(k, i) for i in range(len(prints[-1]))]
-        index = Index(np.concatenate(prints))
+        lexicon, items, item_shingles, index = Lexicon(), None, None, None
+
+        def number_items() -> None:
+            nonlocal items, item_shingles
+            items = np.array([lexicon[w] for _, words in block for w in words], dtype=np.int64)
+            item_shingles = shingles(items)
+
+        number_items()
+        index = Index(fingerprints(items, lexicon.vectors)[begin])
 
         def look(ids: list[int], texts: list[list[str]]) -> Iterator[pa.RecordBatch]:
             numbers = np.array([lexicon[w] for words in texts for w in words], dtype=np.int64)
-            sizes = np.array([len(words) for words in texts])
-            starts = np.cumsum(sizes) - sizes
+            lengths = np.array([len(words) for words in texts])
+            starts = np.cumsum(lengths) - lengths
             found = index.near(fingerprints(numbers, lexicon.vectors))
+            doc = np.searchsorted(starts, found[:, 0], "right") - 1
+            within = found[:, 0] + WINDOW <= (starts + lengths)[doc]
+            found, doc = found[within], doc[within]
             if not len(found):
                 return
-            doc = np.searchsorted(starts, found[:, 0], "right") - 1
-            inside = found[:, 0] + WINDOW <= starts[doc] + sizes[doc]
-            sums: dict[tuple[int, int], list] = {}
-            for d, (at, j) in zip(doc[inside].tolist(), found[inside].tolist()):
-                k, i = owner[j]
-                at -= int(starts[d])
-                like = similarity(texts[d][at : at + WINDOW], block[k][1][i : i + WINDOW])
-                if like >= SIMILARITY:
-                    x = sums.setdefault((ids[d], block[k][0]), [0, 0, 0.0])
-                    x[0] += 1
-                    x[1] += like == 1.0
-                    x[2] = max(x[2], like)
-            if sums:
-                columns = [[k[0] for k in sums], [k[1] for k in sums], *([x[n] for x in sums.values()] for n in range(3))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()])], ["doc_id", "item_id", "windows", "equal", "similarity"])
+            a, b = found[:, 0, None], begin[found[:, 1], None]
+            like = (numbers[a + inside] == items[b + inside]).all(axis=1).astype(np.float64)
+            rest = like == 0
+            like[rest] = similarities(shingles(numbers)[a[rest] + parts], item_shingles[b[rest] + parts])
+            good = like >= SIMILARITY
+            pair = (doc[good] << 32) | owner[found[good, 1]]
+            pairs, back = np.unique(pair, return_inverse=True)
+            best = np.zeros(len(pairs))
+            np.maximum.at(best, back, like[good])
+            if len(pairs):
+                columns = [np.array(ids, dtype=np.int64)[pairs >> 32], item_ids[pairs & 0xFFFFFFFF], np.bincount(back), np.bincount(back, like[good] == 1.0).astype(np.int64), best]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "item_id", "windows", "equal", "similarity"])
 
         for batch in batches:
             ids, texts, size = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(text.as_py())
-                if len(words) >= WINDOW:
+                # a very long text in parts that share all but one word of a window
+                for at in range(0, max(1, len(words) - WINDOW + 1), AT_ONCE):
+                    part = words[at : at + AT_ONCE + WINDOW - 1]
+                    if len(part) < WINDOW:
+                        continue
                     ids.append(doc_id)
-                    texts.append(words)
-                    size += len(words)
+                    texts.append(part)
+                    size += len(part)
                     if size > AT_ONCE:
                         yield from look(ids, texts)
                         ids, texts, size = [], [], 0
@@ -200,6 +228,7 @@ def _search(block: list[tuple[int, list[str]]]):  # noqa: ANN202
                 yield from look(ids, texts)
             if len(lexicon) > WORDS:
                 lexicon = Lexicon()
+                number_items()
 
     return search
 
