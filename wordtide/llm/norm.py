@@ -38,7 +38,7 @@ UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 # Signs of category Cf that do show.
 SEEN = "؀؁؂؃؄؅۝܏࢐࢑࣢"
 #: Code points looked through when the mapping is compiled; elsewhere nothing maps but the blocks' composed forms.
-SPAN = [*range(0x80, 0x3400), *range(0xA000, 0xA800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0xE0000, 0xE0200), *range(0x2F800, 0x2FA20)]
+SPAN = [*range(0x80, 0x3400), *range(0xA000, 0xA800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x10000, 0x12000), *range(0x16A00, 0x17000), *range(0x1D100, 0x1D400), *range(0x1E000, 0x1EA00), *range(0xE0000, 0xE0200), *range(0x2F800, 0x2FA20)]
 _KINDS = ("<wide>", "<narrow>", "<font>")
 
 
@@ -71,8 +71,10 @@ class Transducer:
         for c, to in table.items():
             if any(x in table for x in to):
                 raise ValueError(f"conflict: {c!r} becomes {to!r}, which is mapped itself")
-        marks = [c for c in map(chr, SPAN) if unicodedata.combining(c)] + [chr(c) for c in range(0x1161, 0x1200)]
-        mark, unseen, any_of = (_ranges(x) for x in (marks, [c for c, to in table.items() if not to], list(table)))
+        # what can join the character before it: combining marks and the second halves of composed characters
+        marks = {c for c in map(chr, SPAN) if unicodedata.combining(c)} | {chr(c) for c in range(0x1161, 0x1200)}
+        marks |= {d[-1] for d in (unicodedata.normalize("NFD", chr(c)) for c in SPAN if unicodedata.decomposition(chr(c))[:1] not in ("", "<")) if len(d) > 1}
+        mark, unseen, any_of = (_ranges(x) for x in (sorted(marks), [c for c, to in table.items() if not to], list(table)))
         self.table = table
         self.plain = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
         self.unseen = re.compile(f"[{unseen}]")

@@ -31,8 +31,10 @@ MAYBE = frozenset("""etc usw co ltd bros jr esq inc corp cent oz ff al a.m p.m e
 NUMBERED = frozenset("""no n art p s pag col bl abb kap teil tom т п ст рис""".split())
 # Month names that follow a day written with a stop.
 MONTHS = frozenset("""Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Kapitel Jahrhundert Jahrhunderts Auflage""".split())
-# What reports speech after a closing quotation in scripts without letter case.
-REPORTS = ("قال", "وقال", "قالت", "कहा", "पूछा", "बोला", "बोली", "说", "說", "道", "问", "問", "と", "って", "กล่าว", "ถาม")
+# What reports speech after a closing quotation in scripts without letter case: how such a clause begins,
+# and how a short one ends.
+REPORT_BEGINS = ("قال", "وقال", "قالت", "فقال", "と", "って")
+REPORT_ENDS = ("कहा", "पूछा", "बोला", "बोली", "说", "說", "道", "问", "問", "说道", "问道")
 #: Gains of a boundary, and what an unbalanced span or a very long one loses.
 SURE, LIKELY, WEAK, AGAINST, UNBALANCED, LONG = 4.0, 3.0, 1.5, -6.0, -8.0, 800
 #: Spans looked back over; the longest run of candidates that one sentence may hold without being divided.
@@ -58,6 +60,9 @@ _ROMAN = re.compile(r"[IVXLCDM]+$")
 _NUMBER = re.compile(r"[£$€]?\d[\d.,]*[sd]?$")
 _MONEY = re.compile(r"\d+[sd]\b")
 _LAST_WORD = re.compile(r"\S+$")
+_RUN = re.compile(r"\w*")
+_STOP = re.compile(rf"[{_STOPS}]")
+_CLAUSE_END = re.compile(rf"[{_STOPS}\n]")
 
 
 def _quote(stack: list[str], q: str, opening: bool) -> bool:
@@ -124,9 +129,9 @@ def _gain(text: str, start: int, at: int, end: int, stop: str, last: int, quoted
         return None
     if quoted and not c.isupper() and not c.isdigit() and not opener:
         # scripts without case: a short clause that reports the speech belongs to it
-        m = re.compile(rf"[{_STOPS}\n]").search(text, n, last)
-        clause = text[n : m.start() if m else last]
-        if c in "とって" or (len(clause) <= 24 and any(r in clause for r in REPORTS) and ("“" not in clause) and ("「" not in clause)):
+        m = _CLAUSE_END.search(text, n, min(last, n + 40))
+        clause = text[n : m.start() if m else min(last, n + 40)]
+        if clause.startswith(REPORT_BEGINS) or (len(clause) <= 24 and clause.endswith(REPORT_ENDS)):
             return None
     if full:
         return SURE
@@ -155,10 +160,10 @@ def _gain(text: str, start: int, at: int, end: int, stop: str, last: int, quoted
             return AGAINST if low in ("oz", "cent") else WEAK
         return WEAK if not lower else AGAINST
     if low in NEVER or tail in NEVER:
-        if low in ("art", "ex", "ch", "cap", "ed") and not c.isdigit() and not opener and not _ROMAN.match(re.match(r"\w*", text[n:last])[0]):
+        if low in ("art", "ex", "ch", "cap", "ed") and not c.isdigit() and not opener and not _ROMAN.match(_RUN.match(text, n, min(last, n + 40))[0]):
             return AGAINST / 2
         return AGAINST
-    if (low in NUMBERED or tail in NUMBERED) and (c.isdigit() or _ROMAN.match(re.match(r"\w*", text[n:last])[0])):
+    if (low in NUMBERED or tail in NUMBERED) and (c.isdigit() or _ROMAN.match(_RUN.match(text, n, min(last, n + 40))[0])):
         return AGAINST
     if "." in word and not any(x.isdigit() for x in word) and all(len(x) <= 2 for x in word.split(".")):
         return AGAINST
@@ -167,10 +172,11 @@ def _gain(text: str, start: int, at: int, end: int, stop: str, last: int, quoted
             return AGAINST
         if c.isdigit():
             return AGAINST if word[0] in "£$€" or word[-1] in "sd" or _MONEY.match(text, n) else WEAK
-        if re.match(r"\w*", text[n:last])[0] in MONTHS:
+        if _RUN.match(text, n, min(last, n + 40))[0] in MONTHS:
             return AGAINST
         # a line of its own without a closing stop is a heading
-        return AGAINST if last - start < 100 and text[last - 1] not in _STOPS + "”\"»“’')]" and "\n" not in text[start:last] else LIKELY
+        alone = last - start < 100 and text[last - 1] not in _STOPS + "”\"»“’')]" and "\n" not in text[start:last] and not _STOP.search(text, start, at)
+        return AGAINST if alone else LIKELY
     if _ROMAN.match(word) and word != "I":
         before = text[max(start, m.start() - 12) : m.start()].rstrip()
         return AGAINST if not before or not c.isupper() and not opener else WEAK
