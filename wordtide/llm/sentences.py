@@ -146,6 +146,8 @@ def _gain(text: str, start: int, at: int, end: int, stop: str, last: int, quoted
     if m is None:
         return None
     word = m[0].lstrip("\"“„«‹‚「（(['‘¿¡")
+    if not word.isascii():
+        word = unicodedata.normalize("NFC", word)
     low = word.lower()
     if small:
         # a word that is no abbreviation ends a sentence even before a small letter
@@ -172,7 +174,7 @@ def _gain(text: str, start: int, at: int, end: int, stop: str, last: int, quoted
             return AGAINST
         if c.isdigit():
             return AGAINST if word[0] in "£$€" or word[-1] in "sd" or _MONEY.match(text, n) else WEAK
-        if _RUN.match(text, n, min(last, n + 40))[0] in MONTHS:
+        if _RUN.match(unicodedata.normalize("NFC", text[n : n + 20]))[0] in MONTHS:
             return AGAINST
         # a line of its own without a closing stop is a heading
         alone = last - start < 100 and text[last - 1] not in _STOPS + "”\"»“’')]" and "\n" not in text[start:last] and not _STOP.search(text, start, at)

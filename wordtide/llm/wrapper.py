@@ -30,6 +30,8 @@ KEPT = 4000
 NODES = 160
 #: A value on this share of a host's pages, or of all pages, is a constant of the template.
 HOST_SHARE, ALL_SHARE = 0.01, 0.012
+#: Where a page has one unit of new text only, on this share of the host's pages it is a message, not a body.
+MESSAGE_SHARE = 0.001
 #: Share of units without constants from which a slot holds content.
 CONTENT = 0.3
 #: Hosts whose wrappers a task holds before it sends them on.
@@ -117,6 +119,8 @@ def read(page: str) -> list[tuple[str, list[Unit]]]:
     for m in _TOKEN.finditer(page):
         token = m[0]
         if token[0] != "<" or token == "<":
+            if lines and not in_bold and token.lstrip(" \t\r").startswith("\n") and bold >= len("".join("".join(text).split())):
+                flush()  # a bold line by itself
             for i, part in enumerate(token.split("\n")):
                 if part.strip():
                     if not lines or lines[-1] != line + i:
@@ -267,8 +271,8 @@ class Wrapper:
             out.append(node)
         self.nodes = nodes + self.nodes[i:]
         if len(self.nodes) > NODES:
-            least = sorted(x[1] for x in self.nodes)[len(self.nodes) - NODES // 2]
-            self.nodes = [x for x in self.nodes if x[1] >= least][:NODES]
+            often = sorted(range(len(self.nodes)), key=lambda k: (-self.nodes[k][1], k))[: NODES // 2]
+            self.nodes = [self.nodes[k] for k in sorted(often)]
         return out
 
     def learn(self, stream: list[tuple[str, list[Unit]]]) -> None:
@@ -301,7 +305,9 @@ class Wrapper:
     def finish(self, everywhere: frozenset[str]) -> None:
         """What applying needs: the host's constants and, for each slot, the share of units without any."""
         need = max(2, self.pages * HOST_SHARE)
-        self.fixed = {k for k, v in self.constants().items() if v >= need} | everywhere
+        counts = self.constants()
+        self.fixed = {k for k, v in counts.items() if v >= need} | everywhere
+        self.often = {k for k, v in counts.items() if v >= max(2, self.pages * MESSAGE_SHARE)}
         self.content = []
         for _, _, slot in self.nodes:
             held = slot.formal + sum(v for k, v in slot.values.items() if k in self.fixed)
@@ -309,21 +315,19 @@ class Wrapper:
 
     def main_lines(self, stream: list[tuple[str, list[Unit]]]) -> list[int]:
         at = self.match(stream, lambda slot, units: slot.likeness(units))
-        lines: set[int] = set()
+        body: list[Unit] = []
         for (_, units), node in zip(stream, at):
             plain = [not (u.link or u.nav or u.value in self.fixed or u.lead in self.fixed) for u in units]
             open_slot = node is None or self.content[node] >= CONTENT
             # much new text counts as content even where the wrapper has too few pages to tell
             open_slot = open_slot or (2 * sum(plain) >= len(units) and sum(u.words for u, p in zip(units, plain) if p) >= 60)
-            heads = [u.head and not (u.link or u.nav) for u in units]
-            if not open_slot:
-                continue
-            body = [i for i, (p, h) in enumerate(zip(plain, heads)) if p and not h]
-            for i, u in enumerate(units):
+            if open_slot:
                 # a heading belongs to the body that follows it
-                if (plain[i] and not heads[i]) or (heads[i] and (any(b > i for b in body))):
-                    lines.update(u.lines)
-        return sorted(lines)
+                last = max((i for i, (u, p) in enumerate(zip(units, plain)) if p and not u.head), default=-1)
+                body += [u for i, (u, p) in enumerate(zip(units, plain)) if (p and not u.head) or (u.head and not (u.link or u.nav) and i < last)]
+        if len(body) == 1 and body[0].value in self.often:
+            return []
+        return sorted({n for u in body for n in u.lines})
 
     def pack(self) -> bytes:
         return zlib.compress(pickle.dumps((self.pages, [(t, n, (s.n, s.formal, s.known, s.words, s.values)) for t, n, s in self.nodes])), 1)
