@@ -83,15 +83,20 @@ def scores(local: DataFrame, seeds: DataFrame, pinned: bool) -> DataFrame:
     the query is pinned to one book or only one peer is left.
     """
     pairs = local.join(seeds.select(F.col("book_id").alias("a"), F.col("n_seeds").alias("n_a")), "a").join(seeds.select(F.col("book_id").alias("b"), F.col("n_seeds").alias("n_b")), "b")
-    fewest = F.min(F.least("n_a", "n_b")).over(Window.partitionBy("expr", "a"))
-    pairs = pairs.withColumn("n_seeds", fewest).where("seed_ix < n_seeds")
-    whole = pairs.groupBy("expr", "a").agg(F.avg("c").alias("mean"), F.count_distinct("b").alias("n_books"), F.max("n_seeds").alias("n_seeds"))
-    by_seed = pairs.groupBy("expr", "a", "seed_ix").agg(F.avg("c").alias("c")).groupBy("expr", "a").agg(F.count("*").alias("n"), F.stddev_samp("c").alias("sd"))
-    by_peer = pairs.groupBy("expr", "a", "b").agg(F.avg("c").alias("c")).groupBy("expr", "a").agg(F.count("*").alias("n"), F.stddev_samp("c").alias("sd"))
-    seed_width = by_seed.select("expr", "a", half_width(F.col("n"), F.col("sd")).alias("w_seed"))
-    peer_width = by_peer.select("expr", "a", half_width(F.col("n"), F.col("sd")).alias("w_peer"))
-    rows = whole.join(seed_width, ["expr", "a"]).join(peer_width, ["expr", "a"])
-    width = F.col("w_seed") if pinned else F.when(F.col("n_books") > 1, F.col("w_peer")).otherwise(F.col("w_seed"))
+    # one shuffle: the finer windows and the aggregate below keep the partitioning by expression and book
+    own = Window.partitionBy("expr", "a")
+    pairs = pairs.withColumn("n_seeds", F.min(F.least("n_a", "n_b")).over(own)).where("seed_ix < n_seeds")
+    pairs = pairs.withColumn("by_seed", F.avg("c").over(Window.partitionBy("expr", "a", "seed_ix"))).withColumn("by_peer", F.avg("c").over(Window.partitionBy("expr", "a", "b")))
+    # every peer has every seed, so each mean stands equally often and the variance over rows is that over means
+    rows = pairs.groupBy("expr", "a").agg(F.avg("c").alias("mean"), F.count("*").alias("n"), F.max("n_seeds").alias("n_seeds"), F.var_pop("by_seed").alias("v_seed"), F.var_pop("by_peer").alias("v_peer"))
+    rows = rows.withColumn("n_books", F.expr("n div n_seeds"))
+
+    def width_of(n: Column, v: Column) -> Column:
+        return half_width(n, F.sqrt(v * n / F.greatest(n - 1, F.lit(1))))
+
+    width = width_of(F.col("n_seeds"), F.col("v_seed"))
+    if not pinned:
+        width = F.when(F.col("n_books") > 1, width_of(F.col("n_books"), F.col("v_peer"))).otherwise(width)
     return rows.select("expr", F.col("a").alias("book_id"), F.col("mean").alias("mean_local_similarity"), (F.col("mean") - width).alias("ci_lo"), (F.col("mean") + width).alias("ci_hi"), "n_seeds", "n_books")
 
 

@@ -85,7 +85,7 @@ def nearest(matrix: DataFrame, counts: DataFrame, book_id: str, term: str, k: in
     dims = matrix.where(F.col("book_id") == book_id).select("term", F.posexplode("v").alias("d", "x"))
     mean = dims.groupBy("term", "d").agg(F.avg("x").alias("x")).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("p"))
     mean = mean.select("term", vectors.unit(F.transform("p", lambda p: p.x)).alias("v"))
-    own = mean.where(F.col("term") == term).select(F.col("v").alias("q"))
-    scored = mean.join(F.broadcast(own)).select("term", vectors.dot(F.col("v"), F.col("q")).alias("score"))
+    own = mean.where(F.col("term") == term).select("v").scalar()
+    scored = mean.withColumn("q", own).where("q is not null").select("term", vectors.dot(F.col("v"), F.col("q")).alias("score"))
     rows = scored.join(counts.where(F.col("book_id") == book_id).where(not_adverb_only(F.col("tags"))), "term")
     return rows.select("term", "score", F.array_sort("tags").alias("pos"), F.col("count_").alias("vector_count")).orderBy(F.desc("score"), "term").limit(k)

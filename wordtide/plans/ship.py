@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -10,12 +11,19 @@ from pyspark.sql import SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Once per Spark context: Spark's own file server hands the zipped package to every executor that joins."""
+    """Once per Spark context: Spark's own file server hands the zipped package to every executor that joins.
+
+    The zip lies in the shared checkpoint folder if that is a plain folder; otherwise only the driver, which serves it,
+    needs to see it.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_wordtide_sent", False):
         return
     root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="wordtide-")) / "wordtide.zip"
+    shared = re.sub("^file:(//)?", "", spark.conf.get("spark.checkpoint.dir", None) or "")
+    if shared.startswith("/"):
+        Path(shared).mkdir(parents=True, exist_ok=True)
+    path = Path(tempfile.mkdtemp(prefix="wordtide-", dir=shared if shared.startswith("/") else None)) / "wordtide.zip"
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
