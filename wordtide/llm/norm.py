@@ -63,7 +63,7 @@ class Transducer:
 
     def __init__(self, lookalikes: bool) -> None:
         self.lookalikes = lookalikes
-        table = {c: "" for c in map(chr, [*range(0, 9), *range(14, 32), 127])}
+        table: dict[str, str] = {}
         for c in map(chr, SPAN):
             to = _single(c, lookalikes)
             if to != c:
@@ -78,8 +78,10 @@ class Transducer:
         self.table = table
         self.plain = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
         self.unseen = re.compile(f"[{unseen}]")
+        # only what is not ASCII, with the character before it, is looked at closely
+        self.run = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
         self.cluster = re.compile(f"[{any_of}][{mark}{unseen}]*|[^{mark}][{unseen}]*[{mark}][{mark}{unseen}]*")
-        self.known = dict(table)
+        self.known, self.runs = dict(table), {}
 
     def _rewrite(self, m: re.Match) -> str:
         cluster = m[0]
@@ -91,10 +93,19 @@ class Transducer:
                 self.known[cluster] = to
         return to
 
+    def _run(self, m: re.Match) -> str:
+        run = m[0]
+        to = self.runs.get(run)
+        if to is None:
+            to = self.cluster.sub(self._rewrite, run)
+            if len(run) < 16 and len(self.runs) < 200_000:
+                self.runs[run] = to
+        return to
+
     def rewrite(self, text: str) -> str:
-        if text.isascii() and not self.plain.search(text):
-            return text
-        return self.cluster.sub(self._rewrite, text)
+        if self.plain.search(text):
+            text = self.plain.sub("", text)
+        return text if text.isascii() else self.run.sub(self._run, text)
 
 
 def _ranges(chars: list[str]) -> str:
