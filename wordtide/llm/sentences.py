@@ -265,6 +265,7 @@ def _block(text: str, start: int, last: int, lower: bool, tokens: re.Pattern, sp
 
 
 _PLAIN = str.maketrans(_TO_ASCII)
+_ODD = re.compile("[" + re.escape("".join(sorted(_TO_ASCII))) + "]")
 _LATINISED = str.maketrans(_TO_ASCII | _LATIN)
 
 
@@ -279,7 +280,7 @@ def spans(text: str) -> list[tuple[int, int]]:
             view = "".join([text[i] for i in places])
         if _CYRILLIC_GREEK.search(view) and 2 * len(_LATIN_LETTER.findall(view)) > len(view) * 0.5:
             view = view.translate(_LATINISED)
-        else:
+        elif _ODD.search(view):
             view = view.translate(_PLAIN)
     elif "\r" in text or "\t" in text:
         view = text.replace("\r", " ").replace("\t", " ")
