@@ -34,6 +34,8 @@ HOST_SHARE, ALL_SHARE = 0.01, 0.012
 MESSAGE_SHARE = 0.001
 #: Share of units without constants from which a slot holds content.
 CONTENT = 0.3
+#: Tasks over which the pages of all large hosts are spread, at most twice as many.
+TASKS = 1024
 #: Hosts whose wrappers a task holds before it sends them on.
 HOSTS = 2000
 
@@ -360,7 +362,12 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by host; the wrapper of one host is held at a time."""
+    """(host, wrapper, pages). Rows come sorted by host; the wrapper of one host is held at a time."""
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([whole.pack()], pa.binary()), pa.array([whole.pages], pa.int64())], ["host", "wrapper", "pages"])
+
     now, whole = None, None
     for batch in batches:
         for host, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -368,56 +375,59 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if host == now:
                 whole.merge(own)
             else:
-                if now is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([whole.pack()], pa.binary())], ["host", "wrapper"])
+                yield from out()
                 now, whole = host, own
-    if now is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([whole.pack()], pa.binary())], ["host", "wrapper"])
+    yield from out()
 
 
 def _constants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(value, units, pages) of each host's recurring values; one row without a value has the host's pages."""
+    """(value, units) of each host's recurring values; of a host of few pages all, as they may recur elsewhere."""
     for batch in batches:
-        for blob in batch.column(1):
+        for blob in batch.column(0):
             own = Wrapper.unpack(blob.as_py())
-            common = [(k, v, 0) for k, v in own.constants().items() if v > 1 or own.pages < 200]
-            rows = [(None, 0, own.pages), *common]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["value", "units", "pages"])
+            common = [(k, v) for k, v in own.constants().items() if v > 1 or own.pages < 200]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in common], pa.string()), pa.array([v for _, v in common], pa.int64())], ["value", "units"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) learned from all pages (host, html); parts of a host are merged in two steps."""
+    """(host, wrapper, pages) learned from all pages (host, html); parts of a host are merged in two steps."""
     learned = pages.select("host", "html").mapInArrow(_learn, "host string, wrapper binary")
     learned = learned.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(32))).repartition("host", "part").sortWithinPartitions("host")
-    some = learned.select("host", "wrapper").mapInArrow(_merge, "host string, wrapper binary")
-    return some.repartition("host").sortWithinPartitions("host").mapInArrow(_merge, "host string, wrapper binary")
+    merged = "host string, wrapper binary, pages bigint"
+    some = learned.select("host", "wrapper").mapInArrow(_merge, merged).select("host", "wrapper")
+    return some.repartition("host").sortWithinPartitions("host").mapInArrow(_merge, merged)
 
 
-def main_lines(book_pages: DataFrame, copies: int = 16) -> DataFrame:
+def main_lines(book_pages: DataFrame) -> DataFrame:
     """(page_id, line_no): lines of `html` that hold text of the page's main body.
 
     Null ids and null pages give no row, nor do pages without a main body; a null or broken url is a host of its own;
-    a repeated page_id gives its lines again. A host's pages are spread over `copies` tasks, each with the wrapper.
+    a repeated page_id gives its lines again. The pages of a large host are spread over tasks in proportion, each of
+    which gets a copy of the wrapper.
     """
     from .common import cut
 
     host = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]+)", 1), F.lit(""))
     pages = book_pages.where("page_id is not null and html is not null").select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), "html")
     known = cut(wrappers(pages))
-    values = known.mapInArrow(_constants, "value string, units bigint, pages bigint")
-    total = values.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first().n
+    total = known.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first().n
+    values = known.select("wrapper").mapInArrow(_constants, "value string, units bigint")
     # at most (units on a page) / ALL_SHARE values are on that share of all pages
     need = max(3, total * ALL_SHARE)
-    everywhere = frozenset(r.value for r in values.where("value is not null").groupBy("value").agg(F.sum("units").alias("u")).where(F.col("u") >= need).select("value").collect())
+    everywhere = frozenset(r.value for r in values.groupBy("value").agg(F.sum("units").alias("u")).where(F.col("u") >= need).select("value").collect())
+    # at most TASKS hosts have more pages than one task is to take
+    share = max(total // TASKS, 500)
+    large = F.broadcast(known.where(F.col("pages") > share).select("host", F.ceil(F.col("pages") / share).cast("int").alias("copies")))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
         for batch in batches:
             ids, lines = [], []
-            for key, page_id, page, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            for key, page_id, page, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
                 if page_id is None:
-                    now, own = key, Wrapper.unpack(blob.as_py())
-                    own.finish(everywhere)
+                    if key != now:
+                        now, own = key, Wrapper.unpack(blob.as_py())
+                        own.finish(everywhere)
                 elif key == now:
                     found = own.main_lines(read(page.as_py()))
                     ids += [page_id] * len(found)
@@ -425,7 +435,8 @@ def main_lines(book_pages: DataFrame, copies: int = 16) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int64())], ["page_id", "line_no"])
 
     # the wrapper comes first, then the pages of its host
-    no_page = known.select("host", F.lit(None).cast("bigint").alias("page_id"), F.lit(None).cast("string").alias("html"), "wrapper", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("part"))
-    spread = pages.select("host", "page_id", "html", F.lit(None).cast("binary").alias("wrapper"), F.pmod(F.xxhash64("page_id"), F.lit(copies)).cast("int").alias("part"))
-    both = no_page.unionByName(spread).repartition("host", "part").sortWithinPartitions("host", "part", F.col("page_id").asc_nulls_first())
-    return both.select("host", "page_id", "html", "wrapper").mapInArrow(apply, "page_id bigint, line_no bigint")
+    one = F.coalesce("copies", F.lit(1))
+    first = known.join(large, "host", "left").select("host", F.lit(None).cast("bigint").alias("page_id"), F.lit(None).cast("string").alias("html"), "wrapper", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
+    spread = pages.join(large, "host", "left").select("host", "page_id", "html", F.lit(None).cast("binary").alias("wrapper"), F.pmod(F.xxhash64("page_id"), one).cast("int").alias("part"))
+    both = first.unionByName(spread).repartition("host", "part").sortWithinPartitions("host", "part", F.col("page_id").asc_nulls_first())
+    return both.select("host", "part", "page_id", "html", "wrapper").mapInArrow(apply, "page_id bigint, line_no bigint")
