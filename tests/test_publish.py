@@ -124,5 +124,26 @@ def test_training_is_repeatable(spark):
     rows = spark.createDataFrame([("b", i, [str(w) for w in rng.choice(words, 6)]) for i in range(80)], "book_id string, sent_ix bigint, words array<string>")
     a, b = (training.train_book(rows, "b", [7], size=5, min_count=2, epochs=1, sample=None).orderBy("term").collect() for _ in range(2))
     assert [r.v for r in a] == [r.v for r in b] and len(a) == 8
+    c, d = (training.train_books(rows, [7, 8], size=5, min_count=2, epochs=2, sample=None).orderBy("seed", "term").collect() for _ in range(2))
+    assert [r.v for r in c] == [r.v for r in d] and len(c) == 16 and c[0].v != c[8].v
+    assert training.train_books(rows, [1], size=5, min_count=1000, epochs=1).count() == 0
     thin = training.subsampled(rows, 1, 1e-3)
     assert thin.select(F.sum(F.size("words"))).first()[0] < 480
+
+
+def test_skip_gram_brings_neighbours_together():
+    rng = np.random.default_rng(0)
+    sentences = [list(rng.permutation(["a", "b", "c"] if i % 2 else ["x", "y", "z"])) for i in range(400)]
+    terms, v = training.skip_gram([list(map(str, s)) for s in sentences], 3, 8, 5, 10, 3, None)
+    assert terms == ["a", "b", "c", "x", "y", "z"]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    like = unit @ unit.T
+    assert like[0, 1] > like[0, 3] + 0.5 and like[3, 5] > like[5, 2] + 0.5
+    assert training.skip_gram([["a"]], 1, 4, 2, 1, 2, None)[0] == [] and training.skip_gram([["a", "a"]], 1, 4, 2, 1, 2, 1e-3)[0] == ["a"]
+
+
+def test_huffman_codes():
+    paths, codes = training._codes(np.array([50, 20, 5, 5, 1]))
+    assert len(paths[0]) == 1 and len(paths[4]) == max(map(len, paths))
+    assert len({tuple(c) for c in codes}) == 5 and {int(p[0]) for p in paths} == {3}
+    assert sum(2.0 ** -len(c) for c in codes) == 1

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +39,92 @@ def subsampled(sentences: DataFrame, seed: int, sample: float = SAMPLE) -> DataF
     return kept.groupBy("book_id", "sent_ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x.w).alias("words"))
 
 
+def _codes(counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Huffman path and code of every word, the most frequent words having the shortest."""
+    n = len(counts)
+    if n == 1:
+        return [np.zeros(1, dtype=np.int64)], [np.zeros(1)]
+    heap = [(int(c), i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    above, bit = {}, {}
+    for inner in range(n, 2 * n - 1):
+        (c0, a), (c1, b) = heapq.heappop(heap), heapq.heappop(heap)
+        above[a] = above[b] = inner
+        bit[a], bit[b] = 0.0, 1.0
+        heapq.heappush(heap, (c0 + c1, inner))
+    paths, codes = [], []
+    for i in range(n):
+        path, code, at = [], [], i
+        while at in above:
+            code.append(bit[at])
+            at = above[at]
+            path.append(at - n)
+        paths.append(np.array(path[::-1], dtype=np.int64))
+        codes.append(np.array(code[::-1]))
+    return paths, codes
+
+
+def skip_gram(sentences: list[list[str]], seed: int, size: int, min_count: int, epochs: int, window: int, sample: float | None, rate: float = 0.025, least: float = 1e-4) -> tuple[list[str], np.ndarray]:
+    """Terms and vectors: skip-gram with hierarchical softmax, one pass after the other, the rate falling to `least`.
+
+    Frequent words are thinned out anew in every epoch and the window shrinks at random, both by the seed alone.
+    """
+    count = Counter(w for words in sentences for w in words)
+    terms = sorted(w for w, n in count.items() if n >= min_count)
+    at = {w: i for i, w in enumerate(terms)}
+    rng = np.random.default_rng(seed)
+    vectors = (rng.random((len(terms), size)) - 0.5) / size
+    if not terms:
+        return terms, vectors
+    counts = np.array([count[w] for w in terms])
+    paths, codes = _codes(counts)
+    inner = np.zeros((max(1, len(terms) - 1), size))
+    keep = np.ones(len(terms))
+    if sample:
+        share = counts / (sample * counts.sum())
+        keep = np.minimum(1.0, (np.sqrt(share) + 1) / share)
+    known = [np.array([at[w] for w in words if w in at], dtype=np.int64) for words in sentences]
+    total, done = epochs * max(1, sum(map(len, known))), 0
+    for _ in range(epochs):
+        for words in known:
+            alpha = max(least, rate * (1 - done / total))
+            done += len(words)
+            words = words[rng.random(len(words)) < keep[words]]
+            reach = rng.integers(1, window + 1, len(words))
+            for i, w in enumerate(words):
+                near = np.concatenate([words[max(0, i - reach[i]) : i], words[i + 1 : i + 1 + reach[i]]])
+                if len(near):
+                    own, nodes = vectors[near], inner[paths[w]]
+                    pull = alpha * (1 - codes[w] - 1 / (1 + np.exp(-np.clip(own @ nodes.T, -30, 30))))
+                    inner[paths[w]] += pull.T @ own
+                    np.add.at(vectors, near, pull @ nodes)
+    return terms, vectors
+
+
+def train_books(sentences: DataFrame, seeds: list[int], size: int = SIZE, min_count: int = MIN_COUNT, epochs: int = EPOCHS, window: int = WINDOW, sample: float | None = SAMPLE) -> DataFrame:
+    """(book_id, seed, term, v) of every book, from (book_id, sent_ix, words). A model is one group: a book and a seed.
+
+    All models train at once, each in one task; a book's sentences are read in their order, so a seed gives one result.
+    """
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sent_ix")
+        terms, vectors = skip_gram([list(w) for w in rows.words], int(key[1]), size, min_count, epochs, window, sample)
+        n = len(terms)
+        return pd.DataFrame({"book_id": pd.Series([key[0]] * n, dtype=object), "seed": np.full(n, int(key[1]), dtype=np.int32), "term": pd.Series(terms, dtype=object), "v": pd.Series(list(vectors), dtype=object)})
+
+    each = sentences.select("book_id", "sent_ix", "words", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
+    return each.groupBy("book_id", "seed").applyInPandas(one, "book_id string, seed int, term string, v array<double>")
+
+
 def train_book(sentences: DataFrame, book_id: str, seeds: list[int], size: int = SIZE, min_count: int = MIN_COUNT, epochs: int = EPOCHS, window: int = WINDOW, sample: float | None = SAMPLE) -> DataFrame:
-    """(book_id, seed, term, v) of one book. A model is trained in one ordered partition, so a seed gives one result."""
+    """The same for one book by MLlib, whose matrices lie in the JVM: for books too long for `train_books`. A model is trained in one ordered partition, so a seed gives one result."""
     own = sentences.where(F.col("book_id") == book_id)
     out = None
     for seed in seeds:
         rows = subsampled(own, seed, sample) if sample else own
         model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=1, inputCol="words", outputCol="x").fit(rows.orderBy("sent_ix").coalesce(1).select("words"))
         found = model.getVectors()
-        from pyspark.ml.functions import vector_to_array
-
         part = found.select(F.lit(book_id).alias("book_id"), F.lit(seed).alias("seed"), F.col("word").alias("term"), vector_to_array("vector").alias("v"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -411,10 +411,10 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT token, count(*) AS n FROM (SELECT replace(lower(regexp_replace(w, '[^\p{L}]', '', 'g')), 'labor', 'labour') AS token
-  FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents WHERE lang = 'en') WHERE w <> '') GROUP BY token""")
+  FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents) WHERE w <> '') GROUP BY token""")
 def clean_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Cleaned and respelled tokens of the English passages, the empty token included."""
-    rows = readers.table(spark, d, "documents").where("lang = 'en'")
+    """Cleaned and respelled tokens of all passages, the empty token included."""
+    rows = readers.table(spark, d, "documents")
     tokens = rows.select(F.explode(text.words(F.col("text"))).alias("w")).select(text.respell(text.clean(F.col("w"))).alias("token"))
     return tokens.groupBy("token").agg(F.count("*").alias("n"))
 
@@ -631,17 +631,23 @@ def alignment_fit_by_count(spark: SparkSession, d: str) -> DataFrame:
     return alignment.fit_by_count(alignment.term_statistics(_seed_vectors(spark, d), max_iterations=400), _books(spark, d)[1])
 
 
+def _models(spark: SparkSession, d: str) -> DataFrame:
+    sentences_ = training.training_sentences(readers.table(spark, d, "token_lemmas"))
+    return training.train_books(sentences_, [0, 1, 2], size=16, min_count=3, epochs=2)
+
+
 @query()
 def train_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Two seed models of the largest book, of few dimensions and epochs."""
-    sentences_ = training.training_sentences(readers.table(spark, d, "token_lemmas"))
-    return training.train_book(sentences_, _HOT, [0, 1], size=16, min_count=5, epochs=2, sample=None)
+    """Three seed models of every book, of few dimensions and epochs."""
+    return _models(spark, d)
 
 
 @query()
 def pipeline_align(spark: SparkSession, d: str) -> DataFrame:
-    """Train, align and describe the largest book: the stages one after the other."""
-    return alignment.term_statistics(train_vectors(spark, d), max_iterations=400).drop("vector")
+    """Train, align and describe every book of at least twenty terms: the stages one after the other."""
+    models = _models(spark, d)
+    enough = models.where("seed = 0").groupBy("book_id").count().where("count >= 20").select("book_id")
+    return alignment.term_statistics(models.join(enough, "book_id", "left_semi"), max_iterations=400).drop("vector")
 
 
 # describing
