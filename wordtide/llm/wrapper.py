@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,9 +59,11 @@ class Unit:
         words = shown.split()
         size = len("".join(text.split()))
         self.lines = lines
-        self.value = _DIGITS.sub("#", " ".join(words).lower())
+        value = _DIGITS.sub("#", " ".join(words).lower())
+        # a long text is known by its beginning and its hash
+        self.value = value if len(value) <= 64 else f"{value[:32]}…{xxhash.xxh64_hexdigest(value.encode('utf-8', 'surrogatepass'))}"
         self.words = len(words)
-        lead, colon, _ = self.value.partition(":")
+        lead, colon, _ = value.partition(":")
         self.lead = lead.strip() + ":" if colon and len(lead.split()) <= 4 and self.words <= 18 else ""
         self.link = link >= size > 0
         self.head = (head or bold >= size > 0) and self.words <= 14
