@@ -226,6 +226,23 @@ def test_stripes_that_are_sent_on_early(spark, tables, monkeypatch):
     assert rows(stripes.bound_items(tables("token_lemmas"))) == together(data, 10)
 
 
+def test_pairs_come_in_blocks():
+    import numpy as np
+
+    row = np.array([0, 0, 0, 2, 5, 5, 5, 5])
+    want = [(i, j) for i in range(8) for j in range(i, 8) if row[i] == row[j]]
+    for size in (1, 2, 3, 7, 100):
+        got = [tuple(map(int, x)) for left, right in stripes._pairs(row, size) for x in zip(left, right)]
+        assert got == want
+    assert list(stripes._pairs(row[:0])) == []
+
+
+def test_a_very_long_record(spark):
+    data = [("k", 0, [f"w{i}" for i in range(3000)], 0)] + [("k", i, ["w1", "w2"], 0) for i in range(1, 15)] + [("k", i, ["x"], 0) for i in range(20, 300)]
+    df = spark.createDataFrame([(k, i, w, at(day)) for k, i, w, day in data], TL)
+    assert rows(stripes.bound_items(df)) == [("w1", "w2")]
+
+
 def test_stripes_of_nothing(spark):
     empty = spark.createDataFrame([], TL)
     assert stripes.cooccurrences(empty).count() == stripes.bound_items(empty).count() == 0

@@ -55,17 +55,24 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, in
         yield pc.split_pattern(batch.column(2).filter(pa.array(new)), "\0"), int(new.sum())
 
 
-def _pairs(row: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs within each record, each with itself too; rows are sorted by record and item."""
-    sizes = np.bincount(row) if len(row) else np.zeros(0, dtype=np.int64)
-    sizes = sizes[sizes > 0]
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, dtype=np.int64)
-    end = np.repeat(starts + sizes, sizes)  # for each position, where its record ends
-    reach = end - np.arange(len(item))
-    left = np.repeat(np.arange(len(item)), reach)
-    first = np.concatenate([[0], np.cumsum(reach)[:-1]]) if len(reach) else np.zeros(0, dtype=np.int64)
-    right = left + np.arange(len(left)) - np.repeat(first, reach)
-    return left, right
+def _pairs(row: np.ndarray, at_once: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within each record, each with itself too, in blocks; rows are sorted by record.
+
+    A block has about `at_once` pairs, also where one record has very many items.
+    """
+    if not len(row):
+        return
+    ends = np.flatnonzero(np.append(row[1:] != row[:-1], True)) + 1
+    place = np.arange(len(row))
+    reach = np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - place  # to the end of its record
+    before = np.cumsum(reach) - reach
+    start = 0
+    while start < len(row):
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + at_once)))
+        own = reach[start:stop]
+        left = np.repeat(place[start:stop], own)
+        yield left, left + np.arange(len(left)) - np.repeat(before[start:stop] - before[start], own)
+        start = stop
 
 
 def stripe_counts(token_lemmas: DataFrame) -> DataFrame:
@@ -148,13 +155,13 @@ def stripe_counts(token_lemmas: DataFrame) -> DataFrame:
             row, code = both >> 32, both & 0xFFFFFFFF
             if len(items) < len(names):
                 items = np.concatenate([items, np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in names[len(items) :]], dtype=np.uint64).astype(np.int64)])
-            left, right = _pairs(row, code)
-            held.append((code[left] << 32) | code[right])
-            size += len(left)
-            if size > HELD:
-                add_up()
-                if len(sums) > SENT:
-                    yield from send()
+            for left, right in _pairs(row):
+                held.append((code[left] << 32) | code[right])
+                size += len(left)
+                if size > HELD:
+                    add_up()
+                    if len(sums) > SENT:
+                        yield from send()
         add_up()
         yield from send()
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([-2], pa.int32()), pa.array([None], pa.string()), pa.array([np.array([0], dtype=np.int64).tobytes()], pa.binary()), pa.array([np.array([records], dtype="<u8").tobytes()], pa.binary())], ["a", "segment", "item", "neighbours", "counts"])
