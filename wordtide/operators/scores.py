@@ -106,7 +106,7 @@ def occurrences(counts: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def shared_terms(counts: DataFrame) -> DataFrame:
-    """(a, b, term): every term that two books share, in both directions."""
+    """(a, b, term): every term that two books share, in both directions; for the books of a request, at most 17."""
     a = counts.select(F.col("book_id").alias("a"), "term").distinct()
     return a.join(a.select(F.col("a").alias("b"), "term"), "term").where("a <> b").select("a", "b", "term")
 
