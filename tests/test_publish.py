@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wordtide.operators import alignment, publish, training
+from wordtide.operators import alignment, lemmas as lemmas_of, publish, training
 
 
 def corpus(spark, rows):
@@ -147,3 +147,19 @@ def test_huffman_codes():
     assert len(paths[0]) == 1 and len(paths[4]) == max(map(len, paths))
     assert len({tuple(c) for c in codes}) == 5 and {int(p[0]) for p in paths} == {3}
     assert sum(2.0 ** -len(c) for c in codes) == 1
+
+
+def test_lemmas(spark):
+    words = spark.createDataFrame([(1, "Wages,", "NOUN"), (2, "LABORS", "VERB"), (3, "--", "PUNCT"), (4, "Building", "NOUN"), (5, "producer", "NOUN"), (6, "producer", "VERB"), (7, None, "NOUN"), (8, "the", "DET"), (9, "x9y", None)], "i int, token string, coarse string")
+    known = spark.createDataFrame([("wages", "n", "wage"), ("labours", "v", "labour"), ("wages", "v", "wage")], "token string, pos string, lemma string")
+    verbs = spark.createDataFrame([("producer", "produce"), ("producer", "process"), ("producer", "make"), ("building", "build"), ("wage", "wage"), ("producer", "procure")], "lemma string, verb string")
+    got = {r.i: (r.clean, r.lemma) for r in lemmas_of.lemmatised(words, known, verbs).collect()}
+    assert got == {1: ("wages", "wage"), 2: ("labours", "labour"), 3: ("", ""), 4: ("building", "building"), 5: ("producer", "process"), 6: ("producer", "producer"), 7: (None, None), 8: ("the", "the"), 9: ("xy", "xy")}
+    assert len(lemmas_of.KEPT_NOUNS) == 21
+
+
+def test_entries_leave_the_index(spark):
+    entries = spark.createDataFrame([("a::x", "a"), ("a::y", "a"), ("b::x", "b")], "id string, book_id string")
+    assert [r.id for r in publish.without_vectors(entries, "a").collect()] == ["b::x"]
+    gone = spark.createDataFrame([("a::x",), ("none",)], "id string")
+    assert sorted(r.id for r in publish.without_vectors(entries, ids=gone).collect()) == ["a::y", "b::x"]

@@ -98,3 +98,14 @@ def test_corpus_stream(spark, tmp_path):
     spark.createDataFrame([("rent", "c"), ("rent", "a")], "term string, book_id string").write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert {r.term: r.book_ids for r in stream.read_corpus(spark, str(tmp_path / "out")).collect()} == {"rent": ["a", "b", "c"], "wage": ["a"]}
+
+
+def test_paged_listing():
+    ids = list(range(100, 160))
+
+    def fetch(start):
+        return " ".join(f'<a href="/ebooks/{i}"><a href="/ebooks/{i}">' for i in ids[start - 1 : start + 24])
+
+    assert http.listed_ids(fetch, pause=0) == ids
+    ids = ids[:50]
+    assert http.listed_ids(fetch, pause=0) == ids and http.listed_ids(lambda start: "", pause=0) == []

@@ -121,3 +121,10 @@ def vector_entries(rows: DataFrame, size: int) -> DataFrame:
     checked = F.when(F.size("vector") == size, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector must have {size} numbers")).cast("array<double>"))
     pos = F.array_sort("tags")
     return rows.select(text.vector_id(F.col("book_id"), F.col("term")).alias("id"), "book_id", "term", checked.cast("array<float>").alias("vector"), pos.alias("pos"), F.col("count_").cast("int").alias("vector_count"), F.size("tags").alias("pos_count"))
+
+
+def without_vectors(entries: DataFrame, book_id: str | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """The index without a book's entries, or without those of `ids` (id); ids that are not there are no error."""
+    if book_id is not None:
+        entries = entries.where(~F.col("book_id").eqNullSafe(F.lit(book_id)))
+    return entries if ids is None else entries.join(ids.select("id").distinct(), "id", "left_anti")

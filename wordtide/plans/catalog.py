@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
 from ..functions import text, vectors
-from ..operators import alignment, books, describe, publish, scores, similarity, training
+from ..operators import alignment, books, describe, lemmas, publish, scores, similarity, training
 from ..sources import readers, sinks
 from . import sql
 from .engine import drift
@@ -450,6 +450,22 @@ def term_tags(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("book_id", "term", F.array_join("tags", ",").alias("tags"))
 
 
+_TAGGED = """t AS (SELECT DISTINCT t[1] AS lemma, t[2] AS tag FROM (SELECT unnest(list_zip(lemmas, coalesce(tags, []))[1 : least(len(lemmas), coalesce(len(tags), 0))]) AS t FROM sent) WHERE t[1] <> '')"""
+_KEPT = ", ".join(map(sql.text, lemmas.KEPT_NOUNS))
+
+
+@query(_parts(sql.SENTENCES, _TAGGED, "n AS (SELECT DISTINCT lemma FROM t WHERE tag LIKE 'N%')", "v AS (SELECT DISTINCT lemma FROM t WHERE tag LIKE 'V%' AND length(lemma) > 2)")
+       + f""" SELECT lemma, verb FROM (SELECT n.lemma, v.lemma AS verb, row_number() OVER (PARTITION BY n.lemma ORDER BY length(v.lemma), v.lemma) AS r
+  FROM n JOIN v ON starts_with(n.lemma, v.lemma) AND length(v.lemma) < length(n.lemma) WHERE n.lemma NOT IN ({_KEPT})) WHERE r = 1""")
+def noun_to_verb(spark: SparkSession, d: str) -> DataFrame:
+    """Nouns collapsed to the shortest verb they begin with, which stands for a dictionary of derivations."""
+    rows = publish.tokens(readers.table(spark, d, "token_lemmas")).where("lemma <> ''").select("lemma", "tag").distinct()
+    nouns = rows.where("tag like 'N%'").select("lemma").distinct()
+    starts = nouns.where("length(lemma) > 3").select("lemma", F.explode(F.transform(F.sequence(F.lit(3), F.length("lemma") - 1), lambda n: F.substring("lemma", F.lit(1), n))).alias("verb"))
+    verbs = rows.where("tag like 'V%'").select(F.col("lemma").alias("verb")).distinct()
+    return lemmas.shortest_verbs(starts.join(verbs, "verb").select("lemma", "verb"))
+
+
 # publishing
 
 

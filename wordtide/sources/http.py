@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -41,3 +43,17 @@ class _Reader(DataSourceReader):
         url = f"{self.base}/{self.path.format(id=partition.number)}"
         with urlopen(url, timeout=60) as r:  # noqa: S310
             yield partition.number, url, r.read().decode("utf-8", "replace")
+
+
+def listed_ids(fetch: Callable[[int], str], per_page: int = 25, pause: float = 1.0) -> list[int]:
+    """Book numbers of a paged listing, each once in the order met. fetch(start) gives the page that begins at `start`, from 1.
+
+    The listing ends with a page that adds nothing or that leaves the last one short.
+    """
+    found: dict[int, None] = {}
+    while True:
+        before = len(found)
+        found |= dict.fromkeys(int(x) for x in re.findall(r"/ebooks/(\d+)", fetch(before + 1)))
+        if len(found) == before or len(found) % per_page:
+            return list(found)
+        time.sleep(pause)
