@@ -57,6 +57,12 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT members.*, n FROM members JOIN sizes USING (term))
             SELECT a.term AS term_a, b.term AS term_b FROM m a JOIN m b ON a.book = b.book AND a.term < b.term
             GROUP BY a.term, b.term, a.n, b.n HAVING count(*) * 4 >= 3 * (a.n + b.n - count(*))""",
+        # exact as long as two sets together fit a sketch of 256, as they do in the tables that this is run on
+        "p6_estimates": f"""WITH {_MEMBERS}, sets AS (SELECT term, count(*) AS n, string_agg(book, ',' ORDER BY book) AS s FROM members GROUP BY term HAVING count(*) >= 6),
+            m AS (SELECT of.term, n, book FROM (SELECT min(term) AS term, n FROM sets GROUP BY s, n) of JOIN members ON members.term = of.term),
+            p AS (SELECT a.term AS term_a, b.term AS term_b, a.n AS n_a, b.n AS n_b, count(*)::DOUBLE AS shared FROM m a JOIN m b ON a.book = b.book
+              AND (a.n > b.n OR (a.n = b.n AND a.term < b.term)) GROUP BY ALL)
+            SELECT term_a, term_b, n_a, n_b, shared, round(shared / (n_a + n_b - shared), 6) AS share FROM p WHERE shared * 4 >= 3 * (n_a + n_b - shared)""",
         "p7_pairs": f"""{_P7} SELECT a AS item_a, b AS item_b, n_a, n_b, n_ab, round(lift, 4) AS lift, round(greatest({_LLR}, 0), 3) AS llr
             FROM x WHERE {_LLR} >= 10.83""",
         "p7_found": f"{_P7} SELECT a AS lemma_a, b AS lemma_b FROM x WHERE lift >= 6",
