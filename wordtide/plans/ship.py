@@ -10,6 +10,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+def _folder(spark: SparkSession) -> Path:
+    shared = re.sub("^file:(//)?", "", spark.conf.get("spark.checkpoint.dir", None) or "")
+    if shared.startswith("/"):
+        try:
+            Path(shared).mkdir(parents=True, exist_ok=True)
+            return Path(tempfile.mkdtemp(prefix="wordtide-", dir=shared))
+        except OSError:
+            pass  # the driver may not write there
+    return Path(tempfile.mkdtemp(prefix="wordtide-"))
+
+
 def ship(spark: SparkSession) -> None:
     """Once per Spark context: Spark's own file server hands the zipped package to every executor that joins.
 
@@ -20,10 +31,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_wordtide_sent", False):
         return
     root = Path(__file__).resolve().parents[1]
-    shared = re.sub("^file:(//)?", "", spark.conf.get("spark.checkpoint.dir", None) or "")
-    if shared.startswith("/"):
-        Path(shared).mkdir(parents=True, exist_ok=True)
-    path = Path(tempfile.mkdtemp(prefix="wordtide-", dir=shared if shared.startswith("/") else None)) / "wordtide.zip"
+    path = _folder(spark) / "wordtide.zip"
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
