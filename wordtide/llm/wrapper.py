@@ -321,15 +321,21 @@ class Wrapper:
     def main_lines(self, stream: list[tuple[str, list[Unit]]]) -> list[int]:
         at = self.match(stream, lambda slot, units: slot.likeness(units))
         body: list[Unit] = []
+        closed: list[tuple[int, list[Unit]]] = []
         for (_, units), node in zip(stream, at):
             plain = [not (u.link or u.nav or u.value in self.fixed or u.lead in self.fixed) for u in units]
-            open_slot = node is None or self.content[node] >= CONTENT
+            # a heading belongs to the body that follows it
+            last = max((i for i, (u, p) in enumerate(zip(units, plain)) if p and not u.head), default=-1)
+            own = [u for i, (u, p) in enumerate(zip(units, plain)) if (p and not u.head) or (u.head and not (u.link or u.nav) and i < last)]
+            words = sum(u.words for u, p in zip(units, plain) if p)
+            mostly = 2 * sum(plain) >= len(units)
             # much new text counts as content even where the wrapper has too few pages to tell
-            open_slot = open_slot or (2 * sum(plain) >= len(units) and sum(u.words for u, p in zip(units, plain) if p) >= 60)
-            if open_slot:
-                # a heading belongs to the body that follows it
-                last = max((i for i, (u, p) in enumerate(zip(units, plain)) if p and not u.head), default=-1)
-                body += [u for i, (u, p) in enumerate(zip(units, plain)) if (p and not u.head) or (u.head and not (u.link or u.nav) and i < last)]
+            if node is None or self.content[node] >= CONTENT or (mostly and words >= 60):
+                body += own
+            elif mostly and len(own) > 1:
+                closed.append((words, own))
+        if not body and closed:
+            body = max(closed, key=lambda x: x[0])[1]
         if len(body) == 1 and body[0].value in self.often:
             return []
         return sorted({n for u in body for n in u.lines})
