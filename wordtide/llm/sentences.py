@@ -249,7 +249,7 @@ def _block(text: str, start: int, last: int, lower: bool, tokens: re.Pattern, sp
             if depths[i] != depth or shallow < depth:
                 s += UNBALANCED
             if size > LONG:
-                s -= (size - LONG) / 100
+                s -= min(4.0, (size - LONG) / 100)  # never enough to cut at an abbreviation
             elif size < 2:
                 s -= 3
             if s > top:
