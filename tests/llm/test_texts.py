@@ -180,6 +180,29 @@ def test_main_lines(spark):
         assert len(got & want) / len(want) > 0.97 and len(got & want) / len(got) > 0.97
 
 
+def test_copies_keep_their_body(spark):
+    data = pages()
+    again = [(1000 + i, u, h, m) for i, u, h, m in data[:30] for _ in range(2)]
+    fetched = [(2000 + i, u, h.replace("Served in ", "Served in 1"), m) for i, u, h, m in data[:30]]
+    elsewhere = [(3000 + i, u + "/copy", h, m) for i, u, h, m in data[:30]]
+    df = spark.createDataFrame([(i, u, h) for i, u, h, _ in data + again + fetched + elsewhere], "page_id bigint, url string, html string")
+    lines = {}
+    for i, n in wrapper.main_lines(df).collect():
+        lines.setdefault(i, set()).add(n)
+    for i in range(30):
+        assert lines.get(i) == lines.get(1000 + i) == lines.get(2000 + i) == lines.get(3000 + i)
+        assert bool(lines.get(i)) == bool(data[i][3])
+
+
+def test_a_text_twice_within_a_page_is_no_template(spark):
+    data = []
+    for i in range(20):
+        body = [f"verse {chr(97 + i)} " * 6, f"refrain of song {chr(97 + i)} once more", f"stanza {chr(97 + i)} " * 6, f"refrain of song {chr(97 + i)} once more"]
+        data.append((i, f"http://h/{i}", "<ul><li><a>Home</a></li></ul>\n<div>\n" + "".join(f"<p>{x}</p>\n" for x in body) + "</div>"))
+    got = wrapper.main_lines(spark.createDataFrame(data, "page_id bigint, url string, html string"))
+    assert {tuple(r) for r in got.collect()} == {(i, n) for i in range(20) for n in (2, 3, 4, 5)}
+
+
 def test_pages_that_are_no_pages(spark):
     data = [(1, "u", None), (None, "u", "<p>x"), (2, None, ""), (3, "http://h/", "a < b <<p>"), (4, "http://h/", "<div><p>one<div>two</p></span></main></div>"), (5, "x", "<!-- open"), (6, "x", "no tags at all " * 50_000), (7, "x", "<script>never closed")]
     df = spark.createDataFrame(data, "page_id bigint, url string, html string")

@@ -5,6 +5,7 @@ aligned one after the other into a wrapper: where containers differ, the unmatch
 differ, they become a text slot. A slot remembers the values that recur, in a summary of bounded size, so
 a wrapper is a regular expression without unions: tags, optional parts, repeated groups and slots. Wrappers of parts of
 the data align with each other in the same way, so every page of a host is learned from and no host is gathered.
+Beside the wrappers the pages of every value are counted in full; copies of a page count as one page.
 
 A page is then aligned with its host's wrapper. Units that recur as constants of the template, and units in slots that
 hold such constants on other pages, are boilerplate; the rest is the main body.
@@ -20,12 +21,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .norm import skeleton
 
-#: Values that a slot's summary holds. A value is lost only if it makes up less than 1 / KEPT of the slot's units.
+#: Values that a slot's summary holds for the alignment. A value is lost only if it makes up less than 1 / KEPT of the
+#: slot's units. Constants are not taken from here but counted in full.
 KEPT = 4000
 #: Nodes of a wrapper; the optional parts seen on the fewest pages go first.
 NODES = 160
@@ -37,8 +39,8 @@ MESSAGE_SHARE = 0.001
 CONTENT = 0.3
 #: Tasks over which the pages of all large hosts are spread, at most twice as many.
 TASKS = 1024
-#: Hosts whose wrappers a task holds before it sends them on.
-HOSTS = 2000
+#: Hosts whose wrappers a task holds before it sends them on, and counts of values.
+HOSTS, COUNTS = 2000, 400_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|title|noscript|template)\b.*?(?:</\1\s*>|$)|</?[a-zA-Z!][^<>]*>|[^<]+|<", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
@@ -226,6 +228,11 @@ class Slot:
         return self.gain(known, sum(u.words for u in units) / len(units))
 
 
+def least(pages: int) -> float:
+    """Pages of a host of `pages` from which on a value's count is needed."""
+    return max(2, pages * MESSAGE_SHARE)
+
+
 class Wrapper:
     """nodes: [tag, pages it was seen on, Slot of its units]; a node seen on fewer pages than `pages` is optional."""
 
@@ -300,19 +307,21 @@ class Wrapper:
             node[2].merge(slot)
 
     def constants(self) -> dict[str, int]:
-        """Units of every recurring value or lead, over all slots."""
+        """Units of every value or lead that the slots' summaries hold."""
         out: dict[str, int] = {}
         for _, _, slot in self.nodes:
             for k, v in slot.values.items():
                 out[k] = out.get(k, 0) + v
         return out
 
-    def finish(self, everywhere: frozenset[str]) -> None:
-        """What applying needs: the host's constants and, for each slot, the share of units without any."""
+    def finish(self, everywhere: frozenset[str], counts: dict[str, int]) -> None:
+        """What applying needs: the host's constants and, for each slot, the share of units without any.
+
+        counts: the pages of each value or lead; those on fewer than `least(pages)` pages may be missing.
+        """
         need = max(2, self.pages * HOST_SHARE)
-        counts = self.constants()
         self.fixed = {k for k, v in counts.items() if v >= need} | everywhere
-        self.often = {k for k, v in counts.items() if v >= max(2, self.pages * MESSAGE_SHARE)}
+        self.often = {k for k, v in counts.items() if v >= least(self.pages)}
         self.content = []
         for _, _, slot in self.nodes:
             held = slot.formal + sum(v for k, v in slot.values.items() if k in self.fixed)
@@ -354,20 +363,73 @@ class Wrapper:
         return out
 
 
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, content, url, stream): the page's hash, the hash of its url and longest text (null without a url), what is read from it."""
+    for batch in batches:
+        contents, places, streams = [], [], []
+        for url, page in zip(batch.column(1).to_pylist(), batch.column(2)):
+            html = page.as_py()
+            stream = read(html)
+            longest = max((u for _, units in stream for u in units), key=lambda u: (u.words, u.value), default=None)
+            contents.append(xxhash.xxh128_digest(html.encode("utf-8", "surrogatepass")))
+            places.append(xxhash.xxh128_digest(f"{url}\n{longest.value if longest else ''}".encode("utf-8", "surrogatepass")) if url else None)
+            short = [(tag, [(u.value, u.lead, u.link, u.head, u.nav, u.words) for u in units]) for tag, units in stream]
+            streams.append(zlib.compress(pickle.dumps(short), 1))
+        columns = [batch.column(0), *(pa.array(x, pa.binary()) for x in (contents, places, streams))]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "content", "url", "stream"])
+
+
+def _stream(blob: bytes) -> list[tuple[str, list[Unit]]]:
+    """What `_streams` packed; the units are without lines."""
+    out = []
+    for tag, rows in pickle.loads(zlib.decompress(blob)):
+        units = []
+        for row in rows:
+            u = Unit.__new__(Unit)
+            u.value, u.lead, u.link, u.head, u.nav, u.words = row
+            units.append(u)
+        out.append((tag, units))
+    return out
+
+
+_LEARNED = "host string, wrapper binary, value string, pages bigint, firsts bigint"
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (host, first, stream) of different pages: wrappers, and the pages of each value or lead of a host.
+
+    firsts: of these pages, those that are on no host before.
+    """
     wrappers: dict[str, Wrapper] = {}
+    counts: dict[tuple[str, str], list[int]] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
         if wrappers:
-            yield pa.RecordBatch.from_arrays([pa.array(list(wrappers), pa.string()), pa.array([w.pack() for w in wrappers.values()], pa.binary())], ["host", "wrapper"])
+            for host, w in wrappers.items():
+                columns = [pa.array([host], pa.string()), pa.array([w.pack()], pa.binary()), pa.nulls(1, pa.string()), pa.array([w.pages], pa.int64()), pa.nulls(1, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "wrapper", "value", "pages", "firsts"])
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        keys, n = list(counts), list(counts.values())
+        columns = [pa.array([k[0] for k in keys], pa.string()), pa.nulls(len(n), pa.binary()), pa.array([k[1] for k in keys], pa.string())]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[i] for x in n], pa.int64()) for i in (0, 1))], ["host", "wrapper", "value", "pages", "firsts"])
 
     for batch in batches:
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-            wrappers.setdefault(host, Wrapper()).learn(read(page.as_py()))
+        for host, first, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            stream = _stream(blob.as_py())
+            wrappers.setdefault(host, Wrapper()).learn(stream)
+            for value in {x for _, units in stream for u in units for x in (u.value, u.lead) if x}:
+                n = counts.setdefault((host, value), [0, 0])
+                n[0] += 1
+                n[1] += first
+            if len(counts) > COUNTS:
+                yield from counted()
+                counts = {}
         if len(wrappers) > HOSTS:
             yield from out()
             wrappers = {}
     yield from out()
+    yield from counted()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,18 +451,22 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _constants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(value, units) of each host's recurring values; of a host of few pages all, as they may recur elsewhere."""
-    for batch in batches:
-        for blob in batch.column(0):
-            own = Wrapper.unpack(blob.as_py())
-            common = [(k, v) for k, v in own.constants().items() if v > 1 or own.pages < 200]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in common], pa.string()), pa.array([v for _, v in common], pa.int64())], ["value", "units"])
+def different(pages: DataFrame) -> DataFrame:
+    """(host, first, stream) of the different pages among (host, url, html); first: 1 on the first host of a page.
+
+    A page with the same html, or the same url and longest text, as another of its host is the same page, and so are
+    copies of either, so what is on a page does not recur by being copied, fetched again or stored twice.
+    """
+    read_ = pages.select("host", "url", "html").mapInArrow(_streams, "host string, content binary, url binary, stream binary")
+    each = read_.groupBy("host", "content", F.coalesce("url", "content").alias("place")).agg(F.min("stream").alias("stream"))
+    each = each.withColumn("page", F.min("content").over(Window.partitionBy("host", "place")))
+    once = each.groupBy("host", "content").agg(F.min("page").alias("page"), F.min("stream").alias("stream"))
+    once = once.withColumn("first", (F.row_number().over(Window.partitionBy("content").orderBy("host")) == 1).cast("int"))
+    return once.groupBy("host", "page").agg(F.max("first").alias("first"), F.min("stream").alias("stream")).drop("page")
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, pages) learned from all pages (host, html); parts of a host are merged in two steps."""
-    learned = pages.select("host", "html").mapInArrow(_learn, "host string, wrapper binary")
+def wrappers(learned: DataFrame) -> DataFrame:
+    """(host, wrapper, pages) from the parts of each host's wrapper (host, wrapper), merged in two steps."""
     learned = learned.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(32))).repartition("host", "part").sortWithinPartitions("host")
     merged = "host string, wrapper binary, pages bigint"
     some = learned.select("host", "wrapper").mapInArrow(_merge, merged).select("host", "wrapper")
@@ -417,26 +483,32 @@ def main_lines(book_pages: DataFrame) -> DataFrame:
     from .common import cut
 
     host = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]+)", 1), F.lit(""))
-    pages = book_pages.where("page_id is not null and html is not null").select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), "html")
-    known = cut(wrappers(pages))
-    total = known.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first().n
-    values = known.select("wrapper").mapInArrow(_constants, "value string, units bigint")
+    pages = book_pages.where("page_id is not null and html is not null").select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), "url", "html")
+    learned = cut(different(pages).select("host", "first", "stream").mapInArrow(_learn, _LEARNED))
+    known = cut(wrappers(learned.where("wrapper is not null").select("host", "wrapper")))
+    counts = cut(learned.where("value is not null").groupBy("host", "value").agg(F.sum("pages").alias("n"), F.sum("firsts").alias("firsts")))
     # at most (units on a page) / ALL_SHARE values are on that share of all pages
-    need = max(3, total * ALL_SHARE)
-    everywhere = frozenset(r.value for r in values.groupBy("value").agg(F.sum("units").alias("u")).where(F.col("u") >= need).select("value").collect())
+    need = max(3, known.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first().n * ALL_SHARE)
+    everywhere = frozenset(r.value for r in counts.groupBy("value").agg(F.sum("firsts").alias("f")).where(F.col("f") >= need).select("value").collect())
+    # at most (units on a page) / MESSAGE_SHARE values of a host are on that share of its pages
+    often = counts.join(known.select("host", "pages"), "host").where((F.col("n") >= 2) & (F.col("n") >= F.col("pages") * MESSAGE_SHARE))
+    often = often.groupBy("host").agg(F.collect_list(F.struct("value", "n")).alias("often"))
+    rows = pages.groupBy("host").agg(F.count("*").alias("rows"))
+    known = cut(known.join(often, "host", "left").join(rows, "host"))
+    total = known.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
     # at most TASKS hosts have more pages than one task is to take
     share = max(total // TASKS, 500)
-    large = F.broadcast(known.where(F.col("pages") > share).select("host", F.ceil(F.col("pages") / share).cast("int").alias("copies")))
+    large = F.broadcast(known.where(F.col("rows") > share).select("host", F.ceil(F.col("rows") / share).cast("int").alias("copies")))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
         for batch in batches:
             ids, lines = [], []
-            for key, page_id, page, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+            for key, page_id, page, blob, often in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), batch.column(5)):
                 if page_id is None:
                     if key != now:
                         now, own = key, Wrapper.unpack(blob.as_py())
-                        own.finish(everywhere)
+                        own.finish(everywhere, {x["value"]: x["n"] for x in often.as_py() or ()})
                 elif key == now:
                     found = own.main_lines(read(page.as_py()))
                     ids += [page_id] * len(found)
@@ -445,7 +517,7 @@ def main_lines(book_pages: DataFrame) -> DataFrame:
 
     # the wrapper comes first, then the pages of its host
     one = F.coalesce("copies", F.lit(1))
-    first = known.join(large, "host", "left").select("host", F.lit(None).cast("bigint").alias("page_id"), F.lit(None).cast("string").alias("html"), "wrapper", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
-    spread = pages.join(large, "host", "left").select("host", "page_id", "html", F.lit(None).cast("binary").alias("wrapper"), F.pmod(F.xxhash64("page_id"), one).cast("int").alias("part"))
+    first = known.join(large, "host", "left").select("host", F.lit(None).cast("bigint").alias("page_id"), F.lit(None).cast("string").alias("html"), "wrapper", "often", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
+    spread = pages.join(large, "host", "left").select("host", "page_id", "html", F.lit(None).cast("binary").alias("wrapper"), F.lit(None).cast("array<struct<value:string,n:bigint>>").alias("often"), F.pmod(F.xxhash64("page_id"), one).cast("int").alias("part"))
     both = first.unionByName(spread).repartition("host", "part").sortWithinPartitions("host", "part", F.col("page_id").asc_nulls_first())
-    return both.select("host", "part", "page_id", "html", "wrapper").mapInArrow(apply, "page_id bigint, line_no bigint")
+    return both.select("host", "part", "page_id", "html", "wrapper", "often").mapInArrow(apply, "page_id bigint, line_no bigint")
