@@ -6,6 +6,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -203,6 +204,19 @@ def test_a_text_twice_within_a_page_is_no_template(spark):
     assert {tuple(r) for r in got.collect()} == {(i, n) for i in range(20) for n in (2, 3, 4, 5)}
 
 
+def test_pages_of_a_value_are_counted_in_full(spark, monkeypatch):
+    monkeypatch.setattr(wrapper, "KEPT", 5)
+    monkeypatch.setattr(wrapper, "COUNTS", 50)
+    data = [("h", f"http://h/{i}", f"<div><p>new {chr(97 + i % 26)}{chr(97 + i // 26)}</p><p>kept</p>{'<p>now and then</p>' if i % 40 == 0 else ''}</div>") for i in range(400)]
+    streams = list(wrapper._streams([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*data)], ["host", "url", "html"])]))[0]
+    batch = pa.RecordBatch.from_arrays([streams.column(0), pa.array([1] * 400), streams.column(3)], ["host", "first", "stream"])
+    n = Counter()
+    for part in wrapper._learn([batch]):
+        for value, pages_ in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+            n[value] += pages_ if value else 0
+    assert n["kept"] == 400 and n["now and then"] == 10 and n["new aa"] == 1
+
+
 def test_pages_that_are_no_pages(spark):
     data = [(1, "u", None), (None, "u", "<p>x"), (2, None, ""), (3, "http://h/", "a < b <<p>"), (4, "http://h/", "<div><p>one<div>two</p></span></main></div>"), (5, "x", "<!-- open"), (6, "x", "no tags at all " * 50_000), (7, "x", "<script>never closed")]
     df = spark.createDataFrame(data, "page_id bigint, url string, html string")

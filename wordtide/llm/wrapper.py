@@ -175,10 +175,11 @@ def read(page: str) -> list[tuple[str, list[Unit]]]:
 class Slot:
     """How many units a slot saw, how many were boilerplate by their form, and the values and leads that recur."""
 
-    __slots__ = ("n", "formal", "known", "words", "values")
+    __slots__ = ("n", "formal", "known", "words", "lost", "values")
 
     def __init__(self) -> None:
-        self.n = self.formal = self.known = self.words = 0
+        # lost: by how much the summary has lowered the counts of the values it holds
+        self.n = self.formal = self.known = self.words = self.lost = 0
         self.values: dict[str, int] = {}
 
     def add(self, units: list[Unit]) -> None:
@@ -199,6 +200,7 @@ class Slot:
         self.known += other.known
         self.words += other.words
         self.formal += other.formal
+        self.lost += other.lost
         for k, v in other.values.items():
             self.values[k] = self.values.get(k, 0) + v
         if len(self.values) > 2 * KEPT:
@@ -208,6 +210,7 @@ class Slot:
         """Keeps the KEPT most frequent, lowered by the count of the first that goes (frequent-items summary)."""
         order = sorted(self.values.items(), key=lambda x: (-x[1], x[0]))
         less = order[KEPT][1]
+        self.lost += less
         self.values = {k: v - less for k, v in order[:KEPT] if v > less}
 
     def gain(self, rate: float, words: float) -> float:
@@ -324,7 +327,7 @@ class Wrapper:
         self.often = {k for k, v in counts.items() if v >= least(self.pages)}
         self.content = []
         for _, _, slot in self.nodes:
-            held = slot.formal + sum(v for k, v in slot.values.items() if k in self.fixed)
+            held = slot.formal + sum(v + slot.lost for k, v in slot.values.items() if k in self.fixed)
             self.content.append(1 - min(1.0, held / max(1, slot.n)))
 
     def main_lines(self, stream: list[tuple[str, list[Unit]]]) -> list[int]:
@@ -350,7 +353,7 @@ class Wrapper:
         return sorted({n for u in body for n in u.lines})
 
     def pack(self) -> bytes:
-        return zlib.compress(pickle.dumps((self.pages, [(t, n, (s.n, s.formal, s.known, s.words, s.values)) for t, n, s in self.nodes])), 1)
+        return zlib.compress(pickle.dumps((self.pages, [(t, n, (s.n, s.formal, s.known, s.words, s.lost, s.values)) for t, n, s in self.nodes])), 1)
 
     @staticmethod
     def unpack(blob: bytes) -> Wrapper:
@@ -358,7 +361,7 @@ class Wrapper:
         out.pages, nodes = pickle.loads(zlib.decompress(blob))
         for tag, seen, own in nodes:
             slot = Slot()
-            slot.n, slot.formal, slot.known, slot.words, slot.values = own
+            slot.n, slot.formal, slot.known, slot.words, slot.lost, slot.values = own
             out.nodes.append([tag, seen, slot])
         return out
 
