@@ -217,6 +217,22 @@ def test_pages_of_a_value_are_counted_in_full(spark, monkeypatch):
     assert n["kept"] == 400 and n["now and then"] == 10 and n["new aa"] == 1
 
 
+def test_parts_beyond_the_nodes_still_count(monkeypatch):
+    monkeypatch.setattr(wrapper, "NODES", 8)
+    data = []
+    for i in range(200):
+        tags = ["nav", "aside", "section", "article", "form", "header", "footer", "main", "center", "dl"]
+        parts = [f"<{x}><p>notice of {x}</p><p>see the {x}</p></{x}>" for k, x in enumerate(tags) if (i + k) % 7 == 0]
+        data.append(("h", f"http://h/{i}", "".join(parts) + f"<div><p>body {chr(97 + i % 26)}{chr(97 + i // 26)}</p></div>"))
+    streams = list(wrapper._streams([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*data)], ["host", "url", "html"])]))[0]
+    n, nodes = Counter(), 0
+    for part in wrapper._learn([pa.RecordBatch.from_arrays([streams.column(0), pa.array([1] * 200), streams.column(3)], ["host", "first", "stream"])]):
+        for blob, value, count in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
+            nodes += len(wrapper.Wrapper.unpack(blob).nodes) if blob else 0
+            n[value] += count
+    assert nodes <= 8 and all(n[f"notice of {x}"] == sum((i + k) % 7 == 0 for i in range(200)) for k, x in enumerate(tags))
+
+
 def test_pages_that_are_no_pages(spark):
     data = [(1, "u", None), (None, "u", "<p>x"), (2, None, ""), (3, "http://h/", "a < b <<p>"), (4, "http://h/", "<div><p>one<div>two</p></span></main></div>"), (5, "x", "<!-- open"), (6, "x", "no tags at all " * 50_000), (7, "x", "<script>never closed")]
     df = spark.createDataFrame(data, "page_id bigint, url string, html string")

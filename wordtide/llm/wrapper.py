@@ -29,8 +29,8 @@ from .norm import skeleton
 #: Values that a slot's summary holds for the alignment. A value is lost only if it makes up less than 1 / KEPT of the
 #: slot's units. Constants are not taken from here but counted in full.
 KEPT = 4000
-#: Nodes of a wrapper; the optional parts seen on the fewest pages go first.
-NODES = 160
+#: Nodes of a wrapper; the optional parts seen on the fewest pages go first, half of the nodes at once. Counts stay whole.
+NODES = 640
 #: A value on this share of a host's pages, or of all pages, is a constant of the template.
 HOST_SHARE, ALL_SHARE = 0.01, 0.012
 #: Where a page has one unit of new text only, on this share of the host's pages it is a message, not a body.
