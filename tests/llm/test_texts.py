@@ -117,6 +117,13 @@ def test_sentences(parts):
     assert [text[a:b] for a, b in sentences.spans(text)] == ["3. Kapitel", *parts]
 
 
+def test_a_block_of_many_abbreviations_is_not_cut():
+    index = "Corn, laws of, " + "; ".join(f"vol. {'ii' * (i % 2) or 'i'}. p. {i}" for i in range(1, 200))
+    assert sentences.spans(index) == [(0, len(index))]
+    both = f"He read on. {index}. Then he slept."
+    assert [both[a:b] for a, b in sentences.spans(both)] == ["He read on.", f"{index}.", "Then he slept."]
+
+
 def test_sentences_in_other_characters():
     text = "T﻿he ｆａｉｒ． Ｔｈｅ w​age fell at No. 5. It fell"
     assert [text[a:b] for a, b in sentences.spans(text)] == ["T﻿he ｆａｉｒ．", "Ｔｈｅ w​age fell at No. 5.", "It fell"]

@@ -35,10 +35,10 @@ MONTHS = frozenset("""Januar Jänner Februar März April Mai Juni Juli August Se
 # and how a short one ends.
 REPORT_BEGINS = ("قال", "وقال", "قالت", "فقال", "と", "って")
 REPORT_ENDS = ("कहा", "पूछा", "बोला", "बोली", "说", "說", "道", "问", "問", "说道", "问道")
-#: Gains of a boundary, and what an unbalanced span or a very long one loses.
-SURE, LIKELY, WEAK, AGAINST, UNBALANCED, LONG = 4.0, 3.0, 1.5, -6.0, -8.0, 800
-#: Spans looked back over; the longest run of candidates that one sentence may hold without being divided.
-REACH = 64
+#: Gains of a boundary, and what an unbalanced span loses.
+SURE, LIKELY, WEAK, AGAINST, UNBALANCED = 4.0, 3.0, 1.5, -6.0, -8.0
+#: Size from which on a span loses, and from which on it loses no more.
+LONG, LONGEST = 800, 1200
 
 _SPACE = "\t\x0b\x0c\r\x85" + "".join(c for c in map(chr, range(0x80, 0x3001)) if unicodedata.category(c) == "Zs")
 _TO_ASCII = {c: " " for c in _SPACE} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if chr(c) not in "（）！？；，：［］"} | {"｡": "。"}
@@ -240,21 +240,36 @@ def _block(text: str, start: int, last: int, lower: bool, tokens: re.Pattern, sp
     if n == 2:
         return [(start, last)]
     best, back = [0.0] * n, [0] * n
+    # spans of LONGEST or more lose the same, so of their starts only the best is needed: of all, and of each depth
+    far, any_far, level_far = 0, (-1e18, 0), []
     for j in range(1, n):
         top, arg, depth, end = -1e18, 0, depths[j], ends[j]
+        while end - ends[far] >= LONGEST:
+            d, own = depths[far], (best[far], far)
+            any_far = max(any_far, own)
+            del level_far[d + 1 :]
+            level_far += [(-1e18, 0)] * (d + 1 - len(level_far))
+            level_far[d] = max(level_far[d], own)
+            far += 1
         shallow = depth
-        for i in range(j - 1, max(-1, j - REACH - 1), -1):
+        for i in range(j - 1, far - 1, -1):
             size = end - ends[i]
             s = best[i]
             if depths[i] != depth or shallow < depth:
                 s += UNBALANCED
             if size > LONG:
-                s -= min(4.0, (size - LONG) / 100)  # never enough to cut at an abbreviation
+                s -= (size - LONG) / 100  # never enough to cut at an abbreviation
             elif size < 2:
                 s -= 3
             if s > top:
                 top, arg = s, i
             shallow = min(shallow, depths[i])
+        if far:
+            loss = (LONGEST - LONG) / 100
+            if any_far[0] + UNBALANCED - loss > top:
+                top, arg = any_far[0] + UNBALANCED - loss, any_far[1]
+            if shallow >= depth and depth < len(level_far) and level_far[depth][0] - loss > top:
+                top, arg = level_far[depth][0] - loss, level_far[depth][1]
         best[j], back[j] = top + gains[j], arg
     spans, j = [], n - 1
     while j:
