@@ -364,6 +364,17 @@ def test_leaks(spark, monkeypatch):
     assert leakage.leaks(documents, tests.limit(0)).count() == leakage.leaks(documents.limit(0), tests).count() == 0
 
 
+def test_letter_case_of_other_scripts_does_not_matter(spark):
+    russian = "Старый купец говорил тот раз что хлеб и вино всегда можно выменять на мех или воск у Нила"
+    greek = "Ο παλιός έμπορος έλεγε τότε ότι το ψωμί και το κρασί μπορεί κανείς να τα πάρει με μέλι και νήμα"
+    for text in (russian, greek, russian.replace("хлеб", "xлеб")):
+        assert leakage.words_of(text.upper()) == leakage.words_of(text) == leakage.words_of(text.lower())
+    assert leakage.words_of("Вook Кing") == leakage.words_of("book king")
+    items = spark.createDataFrame([(1, russian), (2, greek)], "item_id bigint, text string")
+    documents = docs(spark, [russian.upper(), "before it " + greek.upper(), "nothing"])
+    assert rows(leakage.leaked(leakage.leaks(documents, items))) == [(0, 1), (1, 2)]
+
+
 def test_index_misses_nothing_within_the_radius():
     rng = np.random.default_rng(0)
     prints = rng.integers(0, 2**63, 500, dtype=np.uint64)

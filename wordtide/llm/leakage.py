@@ -9,6 +9,7 @@ verified by the weighted similarity of their five-word shingles; equal windows a
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .norm import transducer
+from .norm import LOOKALIKES, transducer
 
 WINDOW, RADIUS, SHINGLE, SIMILARITY = 13, 3, 5, 0.8
 #: Bits of the five blocks.
@@ -28,15 +29,27 @@ INDEXED = 200_000
 AT_ONCE, WORDS = 40_000, 400_000
 
 _ASCII = bytes((c if chr(c).isalnum() else 32) for c in range(128)).lower() + bytes([32] * 128)
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"(?:[^\W_][\u0300-\u036f]*)+")
+_OTHER = re.compile("[Ͱ-ԯἀ-῿]")
+#: Small letters whose capitals look like a letter that they do not look like themselves: they go with their capitals.
+_SMALL = {c.casefold(): x.casefold() for c, x in LOOKALIKES.items() if len(c) == len(c.casefold()) == 1 and c.casefold() not in LOOKALIKES and c != c.casefold() and len(x) == 1}
+_SMALLS = str.maketrans(_SMALL)
+#: Capitals that look like another letter than their small ones do; within a word without Latin letters they are those.
+_APART = {c: c.casefold() for c, x in LOOKALIKES.items() if c != c.casefold() and LOOKALIKES.get(c.casefold(), x).casefold() != x.casefold()}
+_APARTS, _ANY_APART, _LATIN = str.maketrans(_APART), re.compile("[" + "".join(_APART) + "]"), re.compile("[A-Za-z]")
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters and digits, in one form and case."""
+    if not text.isascii() and _ANY_APART.search(text):
+        text = _WORD.sub(lambda m: m[0] if _LATIN.search(m[0]) else m[0].translate(_APARTS), text)
     text = transducer(True).rewrite(text)
     if text.isascii():
         return text.encode().translate(_ASCII).decode().split()
-    return _WORD.findall(text.casefold())
+    text = text.casefold()
+    if _OTHER.search(text):
+        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_SMALLS))
+    return _WORD.findall(text)
 
 
 class Lexicon(dict):
