@@ -188,6 +188,16 @@ def test_overlap_estimates(spark):
     assert off and sum(off) / len(off) < 0.15 and max(off) < 0.6
 
 
+def test_shared_books_of_every_term(spark):
+    data = planted(2) + [(f"equal{i}", [f"q{x}" for x in range(9)], 0) for i in range(4)]
+    sets = defaultdict(set)
+    for t, ids, _ in data:
+        sets[t] |= {b for b in ids or [] if b}
+    got = rows(overlap.shared_books(spark.createDataFrame(data, CT), k=1024))
+    want = [(a, b, len(sets[a]), len(sets[b]), float(len(sets[a] & sets[b]))) for a, b in overlapping(data)]
+    assert [r[:5] for r in got] == sorted(want, key=repr) and ("equal1", "equal2", 9, 9, 9.0) in want
+
+
 def test_overlaps_of_nothing(spark):
     empty = spark.createDataFrame([], CT)
     assert overlap.overlapping_terms(empty).count() == overlap.overlap_estimates(empty).count() == 0

@@ -95,11 +95,27 @@ def overlaps(corpus_terms: DataFrame, min_books: int = 6, min_share: float = 0.7
 
 
 def overlap_estimates(corpus_terms: DataFrame, min_books: int = 6, min_share: float = 0.75, k: int = K) -> DataFrame:
-    """(term_a, term_b, n_a, n_b, shared, share): estimates per pair of different sets, the larger first."""
+    """(term_a, term_b, n_a, n_b, shared, share): estimates per pair of different sets, the larger first; `shared_books` has all terms."""
     pairs, _, _ = overlaps(corpus_terms, min_books, min_share, k)
     return pairs.select(F.col("a").alias("term_a"), F.col("b").alias("term_b"), "n_a", "n_b", "shared", "share").where(F.col("share") >= min_share - 1e-9)
 
 
+def shared_books(corpus_terms: DataFrame, min_books: int = 6, min_share: float = 0.75, k: int = K) -> DataFrame:
+    """(term_a, term_b, n_a, n_b, shared, share): the same for every pair of terms, those of equal sets too, in order of term."""
+    pairs, classes, members = overlaps(corpus_terms, min_books, min_share, k)
+    of_a = classes.select(F.col("of").alias("a"), F.col("term").alias("x"))
+    of_b = classes.select(F.col("of").alias("b"), F.col("term").alias("y"))
+    across = pairs.where(F.col("share") >= min_share - 1e-9).join(of_a, "a").join(of_b, "b").select("x", "y", F.col("n_a").alias("n_x"), F.col("n_b").alias("n_y"), "shared", "share")
+    sizes = members.select(F.col("term").alias("of"), "n").distinct()
+    many = classes.groupBy("of").agg(F.count("*").alias("c")).where("c > 1").join(sizes, "of").select("of", "n")
+    copies = classes.join(many, "of")
+    within = copies.select("of", "n", F.col("term").alias("x")).join(copies.select("of", F.col("term").alias("y")), "of").where("x < y")
+    within = within.select("x", "y", F.col("n").alias("n_x"), F.col("n").alias("n_y"), F.col("n").cast("double").alias("shared"), F.lit(1.0).alias("share"))
+    first = F.col("x") < F.col("y")
+    ordered = [F.when(first, a).otherwise(F.col(b)).alias(c) for a, b, c in ((F.col("x"), "y", "term_a"), (F.col("y"), "x", "term_b"), (F.col("n_x"), "n_y", "n_a"), (F.col("n_y"), "n_x", "n_b"))]
+    return across.unionByName(within).select(*ordered, "shared", "share")
+
+
 def overlapping_terms(corpus_terms: DataFrame, min_books: int = 6, min_share: float = 0.75, k: int = K) -> DataFrame:
     """(term_a, term_b): the sketches' pairs, those not exact yet checked on the sets, and all terms of equal sets."""
     pairs, classes, members = overlaps(corpus_terms, min_books, min_share, k)

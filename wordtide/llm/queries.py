@@ -61,6 +61,12 @@ def p6_estimates(spark: SparkSession, d: str) -> DataFrame:
     return estimates.select("term_a", "term_b", "n_a", "n_b", F.round("shared", 3).alias("shared"), F.round("share", 6).alias("share"))
 
 
+def p6_shared(spark: SparkSession, d: str) -> DataFrame:
+    """The estimates of p6_estimates for all terms, with those whose sets are equal."""
+    shared = overlap.shared_books(table(spark, d, "corpus_terms"))
+    return shared.select("term_a", "term_b", "n_a", "n_b", F.round("shared", 3).alias("shared"), F.round("share", 6).alias("share"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlapping_terms(table(spark, d, "corpus_terms"))
 
@@ -94,7 +100,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_pieces(spark, d).where("piece_no = 0").select("doc_id")
 
 
-_ALL = [p1_found, p1_scores, p2_found, p2_terms, p2_texts, p3_found, p3_sentences, p4_found, p4_frequencies, p5_found, p6_found, p6_estimates, p7_found, p7_pairs, p8_containers, p9_found, p9_leaks, p10_found, p10_pieces]
+_ALL = [p1_found, p1_scores, p2_found, p2_terms, p2_texts, p3_found, p3_sentences, p4_found, p4_frequencies, p5_found, p6_found, p6_estimates, p6_shared, p7_found, p7_pairs, p8_containers, p9_found, p9_leaks, p10_found, p10_pieces]
 
 
 def _sent(f: Query) -> Query:
