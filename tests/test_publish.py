@@ -131,6 +131,29 @@ def test_training_is_repeatable(spark):
     assert thin.select(F.sum(F.size("words"))).first()[0] < 480
 
 
+def test_long_books_are_not_gathered(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = [(b, i, [f"word{x}" for x in rng.choice(8, 6)]) for b, n in (("long", 80), ("short", 20)) for i in range(n)]
+    df = spark.createDataFrame(rows, "book_id string, sent_ix bigint, words array<string>")
+    own, gathered = training.train_book, training.train_books
+    asked = []
+    monkeypatch.setattr(training, "train_book", lambda s, b, *a, **k: asked.append(b) or own(s, b, *a, **k))
+    monkeypatch.setattr(training, "train_books", lambda s, *a, **k: asked.append({r.book_id for r in s.select("book_id").collect()}) or gathered(s, *a, **k))
+    got = training.train_all(df, [1, 2], long=300, size=5, min_count=2, epochs=1, sample=None).groupBy("book_id", "seed").count().collect()
+    assert sorted(map(tuple, got)) == [(b, s, 8) for b in ("long", "short") for s in (1, 2)]
+    assert asked == [{"short"}, "long"]
+
+
+def test_queries_train_with_the_production_parameters(spark, monkeypatch):
+    from wordtide.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(training, "skip_gram", None)
+    monkeypatch.setattr(training, "train_books", lambda s, seeds, size=200, min_count=10, epochs=30, window=10, sample=5e-4: seen.append((size, min_count, epochs, window, sample)) or s.selectExpr("book_id", "0 AS seed", "'t' AS term", "array(1D) AS v"))
+    catalog.queries()["train_vectors"](spark, "/root/testdata/sf0.001")
+    assert seen == [(200, 10, 30, 10, 5e-4)] == [(training.SIZE, training.MIN_COUNT, training.EPOCHS, training.WINDOW, training.SAMPLE)]
+
+
 def test_skip_gram_brings_neighbours_together():
     rng = np.random.default_rng(0)
     sentences = [list(rng.permutation(["a", "b", "c"] if i % 2 else ["x", "y", "z"])) for i in range(400)]

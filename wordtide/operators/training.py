@@ -16,6 +16,8 @@ from ..functions import text
 from .publish import current_sentences
 
 SIZE, WINDOW, MIN_COUNT, EPOCHS, SAMPLE = 200, 10, 10, 30, 5e-4
+#: Words of a book from which on no single Python task is to hold it.
+LONG = 2_000_000
 
 
 def training_sentences(token_lemmas: DataFrame) -> DataFrame:
@@ -117,6 +119,16 @@ def train_books(sentences: DataFrame, seeds: list[int], size: int = SIZE, min_co
     return each.groupBy("book_id", "seed").applyInPandas(one, "book_id string, seed int, term string, v array<double>")
 
 
+def train_all(sentences: DataFrame, seeds: list[int], long: int = LONG, **parameters) -> DataFrame:  # noqa: ANN003
+    """The same, where books of more than `long` words train by `train_book`, which gathers none; their ids come to the driver."""
+    sizes = sentences.groupBy("book_id").agg(F.sum(F.size("words")).alias("n")).where(F.col("n") > long)
+    ids = sorted(r.book_id for r in sizes.select("book_id").collect())
+    out = train_books(sentences.where(~F.col("book_id").isin(ids)), seeds, **parameters)
+    for book_id in ids:
+        out = out.unionByName(train_book(sentences, book_id, seeds, **parameters))
+    return out
+
+
 def train_book(sentences: DataFrame, book_id: str, seeds: list[int], size: int = SIZE, min_count: int = MIN_COUNT, epochs: int = EPOCHS, window: int = WINDOW, sample: float | None = SAMPLE) -> DataFrame:
     """The same for one book by MLlib, whose matrices lie in the JVM: for books too long for `train_books`. A model is trained in one ordered partition, so a seed gives one result."""
     own = sentences.where(F.col("book_id") == book_id)

@@ -649,21 +649,19 @@ def alignment_fit_by_count(spark: SparkSession, d: str) -> DataFrame:
 
 def _models(spark: SparkSession, d: str) -> DataFrame:
     sentences_ = training.training_sentences(readers.table(spark, d, "token_lemmas"))
-    return training.train_books(sentences_, [0, 1, 2], size=16, min_count=3, epochs=2)
+    return training.train_all(sentences_, [0, 1, 2])
 
 
 @query()
 def train_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Three seed models of every book, of few dimensions and epochs."""
+    """Three seed models of every book."""
     return _models(spark, d)
 
 
 @query()
 def pipeline_align(spark: SparkSession, d: str) -> DataFrame:
-    """Train, align and describe every book of at least twenty terms: the stages one after the other."""
-    models = _models(spark, d)
-    enough = models.where("seed = 0").groupBy("book_id").count().where("count >= 20").select("book_id")
-    return alignment.term_statistics(models.join(enough, "book_id", "left_semi"), max_iterations=400).drop("vector")
+    """Train, align and describe every book: the stages one after the other."""
+    return alignment.term_statistics(_models(spark, d), max_iterations=400).drop("vector")
 
 
 # describing
