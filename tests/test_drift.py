@@ -56,6 +56,25 @@ def test_half_precision(spark):
         assert half == want and both == [want, -want]
 
 
+def test_every_published_book_is_scored(spark):
+    rng = np.random.default_rng(5)
+    own = {b: {"labour": [1.0] * 5} | noisy(rng, fillers()) for b in range(1, 21)}
+    matrix, counts = corpus(spark, own)
+    got = {r.book_id: r for r in catalog._published_scores(matrix, counts, WORD, list(range(1, 21)), DEFAULT).where("expr = 'labour'").collect()}
+    assert len(got) == 20
+    for group in (range(1, 11), range(11, 21)):
+        for a in group:
+            nearest = sorted(FILLERS, key=lambda t: (-np.mean(own[a][t]), t))[: DEFAULT.anchors]
+            each = [np.corrcoef([own[a][t][i] for t in nearest], [own[b][t][i] for t in nearest])[0, 1] for b in group if b != a for i in range(5)]
+            assert got[f"gutenberg-{a}"].mean_local_similarity == pytest.approx(np.mean(each), abs=2e-6) and got[f"gutenberg-{a}"].n_books == 9
+
+
+def test_requests_hold_every_book():
+    for n in (1, 16, 17, 100, 1248):
+        asked = catalog.requests(list(range(n)), 16)
+        assert sum(asked, []) == list(range(n)) and max(map(len, asked)) <= 16 and max(map(len, asked)) - min(map(len, asked)) <= 1
+
+
 def test_statistics_equal_hand_computed(spark):
     rising = {b: {**fillers(), "rising": 0.1 + 0.2 * b} for b in range(1, 5)}
     matrix, _ = corpus(spark, rising)

@@ -319,13 +319,36 @@ def drift_roster(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def published_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Drift over the published books' own half-precision vectors, for the books richest in terms."""
+    """Drift over the published books' own half-precision vectors: all that carry the word, in requests of books alike in size."""
     matrix, counts = books.term_books(readers.table(spark, d, "book_terms"))
-    rich = counts.where(F.col("term") == "rent").select("book_id").join(counts.groupBy("book_id").agg(F.count("*").alias("n")), "book_id").orderBy(F.desc("n"), "book_id").limit(6)
+    rich = counts.where(F.col("term") == "rent").select("book_id").join(counts.groupBy("book_id").agg(F.count("*").alias("n")), "book_id").orderBy(F.desc("n"), "book_id")
     ids = [int(r.book_id.rpartition("-")[2]) for r in rich.select("book_id").collect()]
-    found = drift(matrix, counts, ex.parse("rent"), ids, None, Settings(anchors=10, centre=10, stable_rank=10, unstable_rank=20))
+    return _published_scores(matrix, counts, ex.parse("rent"), ids, Settings(anchors=10, centre=10, stable_rank=10, unstable_rank=20))
+
+
+def requests(ids: list[int], most: int) -> list[list[int]]:
+    """The ids in order, in as few requests of at most `most` as there can be, all about as large."""
+    n = -(-len(ids) // most)
+    return [ids[len(ids) * k // n : len(ids) * (k + 1) // n] for k in range(n)]
+
+
+def _published_scores(matrix: DataFrame, counts: DataFrame, tree: ex.Tree, ids: list[int], settings: Settings) -> DataFrame:
+    """The scores of every request, one after the other; each is written, so that the plan stays small."""
+    asked = requests(ids, settings.max_books) or [ids]
+    stored = matrix.sparkSession.sparkContext.getCheckpointDir() is not None
+
+    def cut(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if stored else df
+
     rounded = [six(c).alias(c) for c in ("mean_local_similarity", "ci_lo", "ci_hi")]
-    return found.scores.select("expr", "book_id", *rounded, "n_seeds", "n_books", "occurrences")
+    carrying = scores.carrying(counts, ex.leaves(tree))
+    matrix, counts = cut(matrix.join(carrying, "book_id", "left_semi")), cut(counts.join(carrying, "book_id", "left_semi"))
+    out = None
+    for own in asked:
+        found = drift(matrix, counts, tree, own, None, settings)
+        scored = cut(found.scores.select("expr", "book_id", *rounded, "n_seeds", "n_books", "occurrences"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 # list queries and filters
