@@ -118,6 +118,13 @@ def test_alignment_in_spark(spark):
     assert aligned.count() == len(rows) and isinstance(aligned.toPandas(), pd.DataFrame)
 
 
+def test_books_that_do_not_align_keep_their_terms(spark):
+    rng = np.random.default_rng(0)
+    rows = [("b", s, "only", rng.normal(size=50).tolist()) for s in range(3)]
+    df = spark.createDataFrame(rows, "book_id string, seed int, term string, v array<double>")
+    assert [r.term for r in alignment.term_statistics(df, strict=False, max_iterations=1, min_gradient=-1.0).collect()] == ["only"]
+
+
 def test_training_is_repeatable(spark):
     words = [f"word{chr(97 + i)}" for i in range(8)]
     rng = np.random.default_rng(0)

@@ -70,12 +70,20 @@ def aligned_models(seed_vectors: DataFrame, **limits) -> DataFrame:  # noqa: ANN
     return seed_vectors.groupBy("book_id").applyInPandas(one, "book_id string, seed int, term string, v array<double>, mean_disparity double, iterations int")
 
 
-def term_statistics(seed_vectors: DataFrame, **limits) -> DataFrame:  # noqa: ANN003
-    """(book_id, term, vector, variance, disparity, r_squared): the centroid and how well the seeds agree on each term."""
+def term_statistics(seed_vectors: DataFrame, strict: bool = True, **limits) -> DataFrame:  # noqa: ANN003
+    """(book_id, term, vector, variance, disparity, r_squared): the centroid and how well the seeds agree on each term.
+
+    A book whose models do not align fails the query or, unless `strict`, gives its terms with nulls.
+    """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         terms, _, models = _stack(rows)
-        models, centroid, _, _ = align(models, **limits)
+        try:
+            models, centroid, _, _ = align(models, **limits)
+        except NotAligned:
+            if strict:
+                raise
+            return pd.DataFrame({"book_id": rows.book_id.iloc[0], "term": terms, "vector": None, "variance": np.nan, "disparity": np.nan, "r_squared": np.nan})
         residual = np.nanmean(((models - centroid) ** 2).sum(axis=2), axis=0)
         variance = ((centroid - centroid.mean(axis=0)) ** 2).sum(axis=1)
         r2 = 1 - residual / np.maximum(variance, EPS)
