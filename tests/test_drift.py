@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -25,10 +26,9 @@ def corpus(spark, profiles, seeds=5, counts=100):
         own = {"labour": 1.0} | terms
         for term, s in own.items():
             values = s if isinstance(s, list) else [s] * (seeds[book] if isinstance(seeds, dict) else seeds)
-            for i, x in enumerate(values):
-                rows.append((f"gutenberg-{book}", term, i, [float(x), math.sqrt(max(0.0, 1 - x * x))]))
+            rows.append((f"gutenberg-{book}", term, [[float(x), math.sqrt(max(0.0, 1 - x * x))] for x in values]))
             held.append((f"gutenberg-{book}", term, counts, ["N"]))
-    matrix = spark.createDataFrame(rows, "book_id string, term string, seed_ix int, v array<double>")
+    matrix = spark.createDataFrame(rows, "book_id string, term string, vs array<array<double>>")
     return matrix, spark.createDataFrame(held, "book_id string, term string, count_ bigint, tags array<string>")
 
 
@@ -46,6 +46,18 @@ def test_vectors_in_the_plan(spark):
     assert got[0] == pytest.approx([0.6, 0.8]) and got[1] == [0.0, 0.0] and got[2] == 25
 
 
+def test_deep_expressions_of_long_vectors_are_quick(spark):
+    rng = np.random.default_rng(4)
+    rows = [tuple(rng.normal(size=200).tolist() for _ in range(5)) for _ in range(80)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} array<double>" for c in "abcde"))
+    began = time.time()
+    got = df.select(ex.compile_tree(ex.parse("a + (b - (c + (d - e)))"), F.col).alias("q")).collect()
+    assert time.time() - began < 30  # it took minutes when lengths were computed anew for every number
+    one = lambda v: v / np.linalg.norm(v)
+    for r, (a, b, c, d, e) in zip(got, ([np.array(x) for x in row] for row in rows)):
+        assert r.q == pytest.approx(one(a + one(b - one(c + one(d - e)))), abs=1e-12)
+
+
 def test_half_precision(spark):
     rng = np.random.default_rng(0)
     values = np.concatenate([rng.normal(size=500), 10.0 ** rng.uniform(-6, 0, 500), [0.0, 1.0, -2.5, 6e-8]])
@@ -54,6 +66,15 @@ def test_half_precision(spark):
     for x, (half, both) in zip(values, got):
         want = float(np.float16(x))
         assert half == want and both == [want, -want]
+    odd = spark.createDataFrame([(bytearray(np.array([np.inf, 1], dtype="<f2").tobytes()),), (None,), (bytearray(),), (bytearray(b"\0\x3c\1"),)], "b binary")
+    assert [r[0] for r in odd.select(vectors.from_half_bytes(F.col("b"))).collect()] == [[math.inf, 1.0], None, [], [1.0]]
+
+
+def test_pairs_of_books_are_bounded_by_a_request(spark):
+    counts = spark.createDataFrame([(f"gutenberg-{b}", "x") for b in range(18)], "book_id string, term string")
+    assert scores.shared_terms(counts.where("book_id <> 'gutenberg-0'")).count() == 17 * 16
+    with pytest.raises(Exception, match="at most 17 books"):
+        scores.shared_terms(counts).collect()
 
 
 def test_every_published_book_is_scored(spark):
@@ -78,7 +99,7 @@ def test_requests_hold_every_book():
 def test_statistics_equal_hand_computed(spark):
     rising = {b: {**fillers(), "rising": 0.1 + 0.2 * b} for b in range(1, 5)}
     matrix, _ = corpus(spark, rising)
-    means = similarity.mean_similarities(similarity.similarities(matrix, similarity.query_vectors(matrix, {"labour": WORD})))
+    means = similarity.similarities(matrix, similarity.query_vectors(matrix, {"labour": WORD}))
     got = {r.term: r for r in scores.term_statistics(similarity.centred(means, DEFAULT)).collect()}
     places = []
     for b in range(1, 5):
@@ -91,7 +112,7 @@ def test_statistics_equal_hand_computed(spark):
 
 def test_instability_ignores_a_shift_of_the_whole_book(spark):
     matrix, _ = corpus(spark, {b: {**fillers(0.1 * b), "x": 0.3 + 0.1 * b} for b in range(1, 5)})
-    means = similarity.mean_similarities(similarity.similarities(matrix, similarity.query_vectors(matrix, {"labour": WORD})))
+    means = similarity.similarities(matrix, similarity.query_vectors(matrix, {"labour": WORD}))
     got = {r.term: r for r in scores.term_statistics(similarity.centred(means, DEFAULT)).collect()}
     assert got["x"].instability == pytest.approx(0, abs=1e-12)
 
@@ -105,8 +126,8 @@ def test_membership_counts_ties(spark):
 def test_strategies_agree(spark):
     matrix, _ = books.embedding_books(spark.read.parquet(f"{CORPUS}/embeddings.parquet"))
     q = similarity.query_vectors(matrix, {"x": ex.parse("t0007 + (t0011 - t0013)")})
-    a = similarity.similarities(matrix, q).select("book_id", "seed_ix", "term", "s")
-    b = similarity.similarities(matrix, q, "arrow").select("book_id", "seed_ix", "term", F.col("s").alias("r"))
+    a = similarity.similarities(matrix, q).select("book_id", F.posexplode("s").alias("seed_ix", "s"), "term")
+    b = similarity.similarities(matrix, q, "arrow").select("book_id", F.posexplode("s").alias("seed_ix", "r"), "term")
     both = a.join(b, ["book_id", "seed_ix", "term"]).select(F.max(F.abs(F.col("s") - F.col("r"))), F.count("*")).first()
     assert both[0] < 1e-9 and both[1] == a.count()
 
@@ -126,14 +147,13 @@ def test_golden_scores(spark):
 
 
 def test_peers_or_seeds_give_the_interval(spark):
-    local = spark.createDataFrame([("e", "a", p, s, c) for p, c in (("p", 0.2), ("q", 0.8)) for s in range(5)], "expr string, a string, b string, seed_ix int, c double")
-    seeds = spark.createDataFrame([(x, 5) for x in "apq"], "book_id string, n_seeds int")
-    free, pinned = (scores.scores(local, seeds, p).first() for p in (False, True))
+    local = spark.createDataFrame([("e", "a", p, s, c, 5) for p, c in (("p", 0.2), ("q", 0.8)) for s in range(5)], "expr string, a string, b string, seed_ix int, c double, n_seeds int")
+    free, pinned = (scores.scores(local, p).first() for p in (False, True))
     assert free.mean_local_similarity == pinned.mean_local_similarity == pytest.approx(0.5)
     assert pinned.ci_hi - pinned.ci_lo == pytest.approx(0) and free.ci_hi - free.ci_lo > 1
     assert free.n_books == 2
-    one = spark.createDataFrame([("e", "a", "p", s, 0.1 * (s + 1)) for s in range(5)], "expr string, a string, b string, seed_ix int, c double")
-    free, pinned = (scores.scores(one, seeds, p).first() for p in (False, True))
+    one = spark.createDataFrame([("e", "a", "p", s, 0.1 * (s + 1), 5) for s in range(5)], "expr string, a string, b string, seed_ix int, c double, n_seeds int")
+    free, pinned = (scores.scores(one, p).first() for p in (False, True))
     assert (free.ci_lo, free.ci_hi) == pytest.approx((pinned.ci_lo, pinned.ci_hi)) and free.n_books == 1
     assert free.ci_hi - free.mean_local_similarity == pytest.approx(2.776 * np.std([0.1, 0.2, 0.3, 0.4, 0.5], ddof=1) / math.sqrt(5))
 
@@ -214,7 +234,7 @@ def test_loading_books(spark):
     ])
     matrix, counts = books.term_books(rows)
     assert sorted((r.term, r.count_) for r in counts.collect()) == [("rent", 4), ("value", 5)]
-    assert sorted((r.term, r.seed_ix, r.v) for r in matrix.collect()) == [("rent", 0, [1.0, 0.0]), ("rent", 1, [0.0, 1.0]), ("value", 0, [1.0, 0.0]), ("value", 1, [0.0, 1.0])]
+    assert sorted((r.term, r.seed_ix, r.v) for r in books.seed_rows(matrix).collect()) == [("rent", 0, [1.0, 0.0]), ("rent", 1, [0.0, 1.0]), ("value", 0, [1.0, 0.0]), ("value", 1, [0.0, 1.0])]
 
 
 def pipeline(spark, rows):

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Union
 
+import numpy as np
 from pyspark.sql import Column
 
 from . import vectors
@@ -136,3 +137,12 @@ def compile_tree(tree: Tree, leaf: Callable[[str], Column]) -> Column:
         return leaf(tree.term)
     left, right = compile_tree(tree.left, leaf), compile_tree(tree.right, leaf)
     return vectors.unit(vectors.add(left, right) if tree.op == "+" else vectors.subtract(left, right))
+
+
+def evaluate(tree: Tree, leaf: Mapping[str, np.ndarray]) -> np.ndarray:
+    """The same for arrays whose last axis are the dimensions, such as one vector a seed."""
+    if isinstance(tree, Term):
+        return leaf[tree.term]
+    left, right = evaluate(tree.left, leaf), evaluate(tree.right, leaf)
+    v = left + right if tree.op == "+" else left - right
+    return v / np.maximum(np.sqrt((v * v).sum(axis=-1, keepdims=True)), vectors.FLOOR)

@@ -1,7 +1,10 @@
-"""Vector arithmetic as Column expressions on array<double>; everything stays in the JVM."""
+"""Vector arithmetic as Column expressions on array<double>, in the JVM but for the decoding of half precision."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +16,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with `value` computed once a row, however often `use` names it, within its lambdas too."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(v: Column) -> Column:
-    """v at length 1; the zero vector stays zero."""
-    return F.transform(v, lambda x: x / F.greatest(F.sqrt(dot(v, v)), F.lit(FLOOR)))
+    """v at length 1; the zero vector stays zero. Vector and length are computed once, so nested operators cost their sum."""
+
+    def scaled(w: Column) -> Column:
+        length = F.greatest(F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x)), F.lit(FLOOR))
+        return once(length, lambda n: F.transform(w, lambda x: x / n))
+
+    return once(v, scaled)
 
 
 def add(a: Column, b: Column) -> Column:
@@ -33,16 +46,29 @@ def to_half(x: Column) -> Column:
 
 
 def from_half_bytes(b: Column) -> Column:
-    """array<double> of little-endian half-precision numbers. NaN and infinities, which no unit vector has, become null."""
-
-    def one(i: Column) -> Column:
-        low = F.conv(F.hex(F.substring(b, i * 2 + 1, F.lit(1))), 16, 10).cast("int")
-        high = F.conv(F.hex(F.substring(b, i * 2 + 2, F.lit(1))), 16, 10).cast("int")
-        sign = F.when(high >= 128, F.lit(-1.0)).otherwise(F.lit(1.0))
-        power = F.floor((high % 128) / 4).cast("int")
-        part = ((high % 4) * 256 + low).cast("double")
-        value = F.when(power == 0, part * F.lit(2.0**-24)).when(power < 31, (1 + part / 1024) * F.pow(F.lit(2.0), (power - 15).cast("double")))
-        return sign * value
-
-    n = F.floor(F.octet_length(b) / 2).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<double>"))
+    """array<double> of little-endian half-precision numbers, decoded in Arrow batches; infinities and NaN stay what they are.
+
+    A null stays null; an odd last byte is left out.
+    """
+
+    def decode(blobs: pa.Array) -> pa.Array:
+        import numpy as np
+
+        blobs = blobs.cast(pa.large_binary())
+        n = len(blobs)
+        offsets = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + n + 1]
+        data = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)
+        sizes = np.diff(offsets) & ~1
+        if (np.diff(offsets) != sizes).any():
+            data = np.concatenate([data[a : a + k] for a, k in zip(offsets, sizes)])
+        else:
+            data = data[offsets[0] : offsets[-1]]
+        ends = np.concatenate([[0], np.cumsum(sizes)]) // 2
+        values = data[: int(ends[-1]) * 2].tobytes()
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(values, "<f2").astype(np.float64)), mask=blobs.is_null())
+        return lists.cast(pa.list_(pa.float64()))
+
+    # Spark takes the kind of function from the types themselves, which are strings in this module
+    decode.__annotations__ = {"blobs": pa.Array, "return": pa.Array}
+    return F.arrow_udf(decode, "array<double>")(b)
+

@@ -67,8 +67,13 @@ def vocabulary(book_terms: DataFrame, pipeline: DataFrame) -> DataFrame:
     return aligned_terms(book_terms, pipeline).select("term").distinct()
 
 
-def embedding_books(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Five books of the embeddings: term vec_id div 5 of book vec_id % 5 + 1, four seeds of 16 dimensions each."""
+def embedding_books(embeddings: DataFrame, size: int = 16, seeds: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Five books of the embeddings: term vec_id div 5 of book vec_id % 5 + 1, `seeds` seeds of `size` dimensions each.
+
+    (book_id, term, vs) with a unit vector for each seed, and (book_id, term, count_, tags). Number i of an embedding's n
+    is dimension i % size of seed i div size; where more are needed they begin anew, the k-th time k + 1 times as large
+    in every second place.
+    """
     rows = embeddings.select(
         F.concat(F.lit("gutenberg-"), (F.col("vec_id") % 5 + 1).cast("string")).alias("book_id"),
         F.format_string("t%04d", F.expr("vec_id div 5")).alias("term"),
@@ -76,15 +81,32 @@ def embedding_books(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("vec_id") % 17 == 0, F.array(F.lit("R"))).otherwise(F.array(F.lit("N"))).alias("tags"),
         F.col("embedding").cast("array<double>").alias("e"),
     )
-    seeds = rows.select("book_id", "term", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seed_ix"), "e")
-    matrix = seeds.select("book_id", "term", "seed_ix", vectors.unit(F.slice("e", F.col("seed_ix") * 16 + 1, 16)).alias("v"))
-    return matrix, rows.select("book_id", "term", "count_", "tags")
+
+    def number(i: Column) -> Column:
+        x = F.get("e", (i % F.size("e")).cast("int"))
+        return F.when(i % 2 == 0, x).otherwise(x * (F.floor(i / F.size("e")) + 1))
+
+    each = F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda k: vectors.unit(F.transform(F.sequence(k * size, k * size + size - 1), number)))
+    return rows.select("book_id", "term", each.alias("vs")), rows.select("book_id", "term", "count_", "tags")
+
+
+def seed_rows(matrix: DataFrame) -> DataFrame:
+    """(book_id, term, seed_ix, v): a row for each seed."""
+    return matrix.select("book_id", "term", F.posexplode("vs").alias("seed_ix", "v"))
 
 
 def term_books(book_terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The published books: half-precision vectors decoded, a book's seeds cut to those that all its terms have."""
     rows = with_vectors(current_terms(book_terms).where(not_adverb_only(F.col("tags")))).select("book_id", "term", "count_", "tags", "vectors")
     seeds = rows.groupBy("book_id").agg(F.min(F.size("vectors")).alias("n_seeds"))
-    each = rows.join(seeds, "book_id").select("book_id", "term", "n_seeds", F.posexplode("vectors").alias("seed_ix", "b")).where("seed_ix < n_seeds")
-    matrix = each.select("book_id", "term", "seed_ix", vectors.unit(vectors.from_half_bytes(F.col("b"))).alias("v"))
+    # as one blob a term, all of them of one size
+    blob = F.aggregate(F.slice("vectors", F.lit(1), F.col("n_seeds")), F.lit(b""), lambda t, x: F.concat(t, x))
+    each = rows.join(seeds, "book_id").select("book_id", "term", "n_seeds", vectors.from_half_bytes(blob).alias("all"))
+
+    def one(k: Column) -> Column:
+        size = F.expr("size(all) div n_seeds")
+        return vectors.unit(F.slice("all", k * size + 1, size))
+
+    some = F.transform(F.sequence(F.lit(0), F.col("n_seeds") - 1), one)
+    matrix = each.where("n_seeds > 0").select("book_id", "term", some.alias("vs"))
     return matrix, rows.select("book_id", "term", "count_", "tags")

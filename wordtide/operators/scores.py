@@ -31,7 +31,7 @@ def term_statistics(positions: DataFrame) -> DataFrame:
 
 
 def comparative_terms(statistics: DataFrame, settings: Settings = DEFAULT, vocabulary: DataFrame | None = None) -> DataFrame:
-    """The statistics of the most stable and the most unstable terms, in order of term.
+    """The statistics of the most stable and the most unstable terms.
 
     `vocabulary` (term): of the selected book, to which the terms are then confined. Each selection is a limit of a few
     rows over an order, which Spark takes per partition first.
@@ -43,49 +43,59 @@ def comparative_terms(statistics: DataFrame, settings: Settings = DEFAULT, vocab
     pool = rows.where((F.col("n_books_as_top100") >= settings.min_books_ranked) & (F.col("n_books_as_top50") >= settings.min_unstable_top50))
     pool = pool.orderBy(F.desc("stability"), "term").limit(settings.pool)
     unstable = pool.orderBy(F.desc("instability"), "term").limit(settings.comparative)
-    return stable.unionByName(unstable).distinct().orderBy("term")
+    return stable.unionByName(unstable).distinct()
 
 
-def anchors(means: DataFrame, settings: Settings = DEFAULT, selected: str | None = None) -> DataFrame:
-    """(expr, a, b, term, place): the terms nearest to the expression in the measuring book a that the peer b has too.
+#: Books that a request compares at most: those asked for and the selected one. Pairs of books are formed only within it.
+MOST_BOOKS = 17
 
-    Pairs with fewer shared terms than anchors are left out. Ties go by term.
-    """
-    a = means.select("expr", F.col("book_id").alias("a"), "term", F.col("m").alias("m_a"))
-    b = means.select("expr", F.col("book_id").alias("b"), "term")
-    if selected is not None:
-        b = b.where(F.col("b") == selected)
-        a = a.where(F.col("a") != selected)
-    pairs = a.join(b, ["expr", "term"]).where("a <> b")
-    by = Window.partitionBy("expr", "a", "b")
-    pairs = pairs.withColumn("shared", F.count("*").over(by)).withColumn("place", F.row_number().over(by.orderBy(F.desc("m_a"), "term")))
-    return pairs.where((F.col("place") <= settings.anchors) & (F.col("shared") >= settings.anchors)).select("expr", "a", "b", "term", "place")
 
+def _of_a_request(books: Column) -> Column:
+    return F.when(F.size(books) <= MOST_BOOKS, books).otherwise(F.raise_error(F.lit(f"pairs are formed between at most {MOST_BOOKS} books")))
 
-def local_similarities(similar: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(expr, a, b, seed_ix, c): correlation of the two books' similarities over the anchors, seed by seed."""
-    a = similar.select("expr", F.col("book_id").alias("a"), "term", "seed_ix", F.col("s").alias("x"))
-    b = similar.select("expr", F.col("book_id").alias("b"), "term", "seed_ix", F.col("s").alias("y"))
-    both = chosen.join(a, ["expr", "a", "term"]).join(b, ["expr", "b", "term", "seed_ix"])
-    sums = both.groupBy("expr", "a", "b", "seed_ix").agg(F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.count("*").alias("n"))
-    # clamped sums rather than corr, which fails on a constant column
-    return sums.select("expr", "a", "b", "seed_ix", (F.col("xy") * F.col("n") / F.greatest(F.sqrt(F.col("xx") * F.col("yy")) * F.col("n"), F.lit(FLOOR))).alias("c"))
 
+def anchors(similar: DataFrame, settings: Settings = DEFAULT, selected: str | None = None) -> DataFrame:
+    """(expr, a, b, term, place, x, y): the terms nearest to the expression in the measuring book a that the peer b has
+    too, with the similarities of both, seed by seed.
 
-def seed_counts(matrix: DataFrame) -> DataFrame:
-    return matrix.groupBy("book_id").agg((F.max("seed_ix") + 1).alias("n_seeds"))
+    Pairs with fewer shared terms than anchors are left out. Ties go by term. A term's books meet in one row, at most
+    MOST_BOOKS of them, so the table is read once and no join follows.
+    """
+    held = similar.groupBy("expr", "term").agg(_of_a_request(F.collect_list(F.struct("book_id", "m", "s"))).alias("books"))
+    a = held.select("expr", "term", "books", F.explode("books").alias("p"))
+    if selected is not None:
+        a = a.where(F.col("p.book_id") != selected)
+    pairs = a.select("expr", "term", "p", F.explode("books").alias("q")).where("p.book_id <> q.book_id")
+    if selected is not None:
+        pairs = pairs.where(F.col("q.book_id") == selected)
+    pairs = pairs.select("expr", F.col("p.book_id").alias("a"), F.col("q.book_id").alias("b"), "term", F.col("p.m").alias("m_a"), F.col("p.s").alias("x"), F.col("q.s").alias("y"))
+    by = Window.partitionBy("expr", "a", "b")
+    pairs = pairs.withColumn("place", F.row_number().over(by.orderBy(F.desc("m_a"), "term")))
+    # the last place of a pair is its number of shared terms
+    pairs = pairs.where(F.col("place") <= settings.anchors).withColumn("shared", F.max("place").over(by))
+    return pairs.where(F.col("shared") >= settings.anchors).select("expr", "a", "b", "term", "place", "x", "y")
+
+
+def local_similarities(chosen: DataFrame) -> DataFrame:
+    """(expr, a, b, seed_ix, c, n_seeds): correlation of the two books' similarities over the anchors, seed by seed;
+    n_seeds: how many both have."""
+    n = F.least(F.size("x"), F.size("y"))
+    each = chosen.select("expr", "a", "b", n.alias("n_seeds"), F.posexplode(F.slice(F.arrays_zip("x", "y"), F.lit(1), n)).alias("seed_ix", "z"))
+    x, y = F.col("z.x"), F.col("z.y")
+    sums = each.groupBy("expr", "a", "b", "seed_ix").agg(F.covar_pop(x, y).alias("xy"), F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.count("*").alias("n"), F.min("n_seeds").alias("n_seeds"))
+    # clamped sums rather than corr, which fails on a constant column
+    return sums.select("expr", "a", "b", "seed_ix", (F.col("xy") * F.col("n") / F.greatest(F.sqrt(F.col("xx") * F.col("yy")) * F.col("n"), F.lit(FLOOR))).alias("c"), "n_seeds")
 
 
-def scores(local: DataFrame, seeds: DataFrame, pinned: bool) -> DataFrame:
+def scores(local: DataFrame, pinned: bool) -> DataFrame:
     """(expr, book_id, mean_local_similarity, ci_lo, ci_hi, n_seeds, n_books).
 
     A book's seeds are cut to the fewest of it and its comparable peers. The interval is over peers, or over seeds if
     the query is pinned to one book or only one peer is left.
     """
-    pairs = local.join(seeds.select(F.col("book_id").alias("a"), F.col("n_seeds").alias("n_a")), "a").join(seeds.select(F.col("book_id").alias("b"), F.col("n_seeds").alias("n_b")), "b")
     # one shuffle: the finer windows and the aggregate below keep the partitioning by expression and book
     own = Window.partitionBy("expr", "a")
-    pairs = pairs.withColumn("n_seeds", F.min(F.least("n_a", "n_b")).over(own)).where("seed_ix < n_seeds")
+    pairs = local.withColumn("n_seeds", F.min("n_seeds").over(own)).where("seed_ix < n_seeds")
     pairs = pairs.withColumn("by_seed", F.avg("c").over(Window.partitionBy("expr", "a", "seed_ix"))).withColumn("by_peer", F.avg("c").over(Window.partitionBy("expr", "a", "b")))
     # every peer has every seed, so each mean stands equally often and the variance over rows is that over means
     rows = pairs.groupBy("expr", "a").agg(F.avg("c").alias("mean"), F.count("*").alias("n"), F.max("n_seeds").alias("n_seeds"), F.var_pop("by_seed").alias("v_seed"), F.var_pop("by_peer").alias("v_peer"))
@@ -106,9 +116,9 @@ def occurrences(counts: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def shared_terms(counts: DataFrame) -> DataFrame:
-    """(a, b, term): every term that two books share, in both directions; for the books of a request, at most 17."""
-    a = counts.select(F.col("book_id").alias("a"), "term").distinct()
-    return a.join(a.select(F.col("a").alias("b"), "term"), "term").where("a <> b").select("a", "b", "term")
+    """(a, b, term): every term that two books share, in both directions; for the books of a request, at most MOST_BOOKS."""
+    held = counts.groupBy("term").agg(_of_a_request(F.collect_set("book_id")).alias("books")).where(F.size("books") > 1)
+    return held.select("term", "books", F.explode("books").alias("a")).select("a", F.explode("books").alias("b"), "term").where("a <> b")
 
 
 def n_shared_terms(counts: DataFrame, books: DataFrame) -> DataFrame:

@@ -83,14 +83,14 @@ def _trees(*trees: ex.Tree) -> str:
 @query(_parts(sql.BOOKS, _trees(WORD), sql.similar()) + " SELECT expr, book_id, term, round(m, 6) + 0.0 AS m FROM msim")
 def query_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Mean similarity of every term to a word, per book."""
-    means = similarity.mean_similarities(_similar(spark, d)[2])
+    means = _similar(spark, d)[2]
     return means.select("expr", "book_id", "term", six("m").alias("m"))
 
 
 @query(_parts(sql.BOOKS, _trees(NESTED), sql.similar()) + " SELECT expr, book_id, term, round(m, 6) + 0.0 AS m FROM msim")
 def query_similarity_arrow(spark: SparkSession, d: str) -> DataFrame:
     """The same for a compound expression, multiplied in Arrow batches."""
-    means = similarity.mean_similarities(_similar(spark, d, NESTED, "arrow")[2])
+    means = _similar(spark, d, NESTED, "arrow")[2]
     return means.select("expr", "book_id", "term", six("m").alias("m"))
 
 
@@ -99,7 +99,7 @@ def batched_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Several expressions in one plan, seed by seed."""
     matrix, _ = _books(spark, d)
     q = similarity.query_vectors(matrix, {ex.serialise(t): t for t in (WORD, NESTED)})
-    return similarity.similarities(matrix, q).select("expr", "book_id", "seed_ix", "term", six("s").alias("s"))
+    return similarity.similarities(matrix, q).select("expr", "book_id", "term", F.posexplode("s").alias("seed_ix", "s")).withColumn("s", six("s"))
 
 
 def _vectors(tree: ex.Tree) -> str:
@@ -109,7 +109,7 @@ def _vectors(tree: ex.Tree) -> str:
 def _vector(spark: SparkSession, d: str, tree: ex.Tree) -> DataFrame:
     matrix, _ = _books(spark, d)
     q = similarity.query_vectors(matrix, {ex.serialise(tree): tree})
-    return q.select("book_id", "seed_ix", F.posexplode("qv").alias("dim", "x")).withColumn("x", six("x"))
+    return q.select("book_id", F.posexplode("qvs").alias("seed_ix", "qv")).select("book_id", "seed_ix", F.posexplode("qv").alias("dim", "x")).withColumn("x", six("x"))
 
 
 @query(_vectors(SUM))
@@ -127,18 +127,32 @@ def expr_nested(spark: SparkSession, d: str) -> DataFrame:
     return _vector(spark, d, NESTED)
 
 
+_DEEP_SIZE = 200
+DEEP = ex.parse("t0007 + (t0011 - (t0013 + (t0017 - t0019)))")
+
+
+@query(
+    _parts(sql.books(_DEEP_SIZE), _trees(DEEP), sql.similar()) + f""" SELECT book_id, term, round(m, 6) + 0.0 AS m FROM msim"""
+)
+def query_similarity_deep(spark: SparkSession, d: str) -> DataFrame:
+    """An expression as deep as may be, over vectors of the size that books are trained with."""
+    matrix, _ = books.embedding_books(readers.table(spark, d, "embeddings"), _DEEP_SIZE)
+    q = similarity.query_vectors(matrix, {ex.serialise(DEEP): DEEP})
+    return similarity.similarities(matrix, q, "arrow").select("book_id", "term", six("m").alias("m"))
+
+
 # ranking and statistics
 
 
 @query(_parts(sql.BOOKS, _trees(WORD), sql.similar(), sql.centred()) + " SELECT book_id, term, round(position, 6) + 0.0 AS position FROM pos")
 def center_locally(spark: SparkSession, d: str) -> DataFrame:
-    rows = similarity.centred(similarity.mean_similarities(_similar(spark, d)[2]), DEFAULT)
+    rows = similarity.centred(_similar(spark, d)[2], DEFAULT)
     return rows.select("book_id", "term", six("position").alias("position"))
 
 
 @query(_parts(sql.BOOKS, _trees(WORD), sql.similar(), sql.centred()) + " SELECT book_id, term, in_stable, in_unstable FROM pos")
 def topk_membership(spark: SparkSession, d: str) -> DataFrame:
-    rows = similarity.centred(similarity.mean_similarities(_similar(spark, d)[2]), DEFAULT)
+    rows = similarity.centred(_similar(spark, d)[2], DEFAULT)
     return rows.select("book_id", "term", "in_stable", "in_unstable")
 
 
@@ -151,7 +165,7 @@ def _statistics(rows: DataFrame) -> DataFrame:
 
 @query(_parts(sql.BOOKS, _trees(WORD), sql.similar(), sql.centred()) + f" SELECT {_STATS} FROM st")
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = similarity.centred(similarity.mean_similarities(_similar(spark, d)[2]), DEFAULT)
+    rows = similarity.centred(_similar(spark, d)[2], DEFAULT)
     return _statistics(scores.term_statistics(rows))
 
 
@@ -159,7 +173,7 @@ def _comparative(spark: SparkSession, d: str, settings: Settings, selected: str
     matrix, counts, similar = _similar(spark, d)
     if selected:
         similar = similar.where(F.col("book_id") != selected)
-    rows = scores.term_statistics(similarity.centred(similarity.mean_similarities(similar), settings))
+    rows = scores.term_statistics(similarity.centred(similar, settings))
     own = matrix.where(F.col("book_id") == selected).select("term") if selected else None
     return _statistics(scores.comparative_terms(rows, settings, own))
 
@@ -223,20 +237,18 @@ def books_carrying_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_parts(sql.BOOKS, _trees(WORD), sql.similar(), sql.anchors()) + " SELECT a, b, term, place FROM anch")
 def local_anchors(spark: SparkSession, d: str) -> DataFrame:
-    means = similarity.mean_similarities(_similar(spark, d)[2])
+    means = _similar(spark, d)[2]
     return scores.anchors(means).select("a", "b", "term", F.col("place").cast("bigint").alias("place"))
 
 
 @query(_parts(sql.BOOKS, _trees(WORD), sql.similar(), sql.anchors(), sql.local()) + " SELECT a, b, seed_ix, round(c, 6) + 0.0 AS c FROM loc")
 def local_similarity(spark: SparkSession, d: str) -> DataFrame:
-    similar = _similar(spark, d)[2]
-    return scores.local_similarities(similar, scores.anchors(similarity.mean_similarities(similar))).select("a", "b", "seed_ix", six("c").alias("c"))
+    return scores.local_similarities(scores.anchors(_similar(spark, d)[2])).select("a", "b", "seed_ix", six("c").alias("c"))
 
 
 def _scores(spark: SparkSession, d: str, tree: ex.Tree, selected: str | None = None) -> DataFrame:
-    matrix, _, similar = _similar(spark, d, tree)
-    local = scores.local_similarities(similar, scores.anchors(similarity.mean_similarities(similar), DEFAULT, selected))
-    rows = scores.scores(local, scores.seed_counts(matrix), selected is not None)
+    local = scores.local_similarities(scores.anchors(_similar(spark, d, tree)[2], DEFAULT, selected))
+    rows = scores.scores(local, selected is not None)
     return rows.select("book_id", six("mean_local_similarity").alias("mean_local_similarity"), six("ci_lo").alias("ci_lo"), six("ci_hi").alias("ci_hi"), "n_seeds", "n_books")
 
 
@@ -625,7 +637,7 @@ def metadata_publish(spark: SparkSession, d: str) -> DataFrame:
 def vector_entries(spark: SparkSession, d: str) -> DataFrame:
     """Entries of a vector index, their vectors checked for size."""
     matrix, counts = _books(spark, d)
-    rows = matrix.where("seed_ix = 0").select("book_id", "term", F.col("v").alias("vector")).join(counts, ["book_id", "term"])
+    rows = matrix.select("book_id", "term", F.col("vs")[0].alias("vector")).join(counts, ["book_id", "term"])
     entries = publish.vector_entries(rows, 16).where("size(vector) = 16")
     book, _ = text.split_vector_id(F.col("id"))
     return entries.select("id", text.source_id(book).alias("source_id"), "vector_count", "pos_count")
@@ -647,7 +659,7 @@ def vector_query_book(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _seed_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return _books(spark, d)[0].select("book_id", F.col("seed_ix").alias("seed"), "term", "v")
+    return books.seed_rows(_books(spark, d)[0]).select("book_id", F.col("seed_ix").alias("seed"), "term", "v")
 
 
 @query(_parts(sql.BOOKS) + " SELECT book_id, term, (i - 1)::INT AS dim, round(avg(v[i]), 6) + 0.0 AS x FROM nv, (SELECT unnest(range(1, 17)) AS i) GROUP BY ALL")

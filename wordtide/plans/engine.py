@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +61,11 @@ def check_request(tree: ex.Tree, book_ids: list[int], selected: int | None, sett
         raise InvalidRequest(f"the selected book {selected} is among the books asked for")
 
 
-def drift(matrix: DataFrame, counts: DataFrame, tree: ex.Tree, book_ids: list[int], selected: int | None = None, settings: Settings = DEFAULT, strategy: str = "native") -> Drift:
+def drift(matrix: DataFrame, counts: DataFrame, tree: ex.Tree, book_ids: list[int], selected: int | None = None, settings: Settings = DEFAULT) -> Drift:
     """Scores of `book_ids` for an expression and its comparative terms, against their peers or against `selected`.
 
-    Two results are brought to the driver on the way: which of the at most 16 books carry the expression, and the at
-    most 2 x settings.comparative comparative terms, which then need no join to be scored.
+    Brought to the driver on the way: the expression's leaves in the at most 17 books, the at most
+    2 x settings.comparative comparative terms and their vectors in these books. All of it is bounded by the request.
     """
     check_request(tree, book_ids, selected, settings)
     spark = matrix.sparkSession
@@ -72,27 +73,30 @@ def drift(matrix: DataFrame, counts: DataFrame, tree: ex.Tree, book_ids: list[in
     every = asked + ([chosen] if chosen else [])
     matrix, counts = matrix.where(F.col("book_id").isin(every)), counts.where(F.col("book_id").isin(every))
     leaves, name = ex.leaves(tree), ex.serialise(tree)
-    held: dict[str, set[str]] = {}
-    for r in counts.where(F.col("term").isin(leaves)).select("book_id", "term").distinct().collect():
-        held.setdefault(r.book_id, set()).add(r.term)
-    if chosen and (lacking := set(leaves) - held.get(chosen, set())):
+    held: dict[str, dict[str, list]] = {}
+    for r in matrix.where(F.col("term").isin(leaves)).collect():
+        held.setdefault(r.book_id, {})[r.term] = r.vs
+    if chosen and (lacking := set(leaves) - held.get(chosen, {}).keys()):
         raise ExpressionAbsent(selected, sorted(lacking))
-    valid = [b for b in asked if held.get(b, set()) >= set(leaves)]
+    valid = [b for b in asked if held.get(b, {}).keys() >= set(leaves)]
     if len(valid) < settings.min_books:
         raise QueryInTooFewBooks(selected)
-    query = similarity.query_vectors(matrix, {name: tree})
-    means = similarity.mean_similarities(similarity.similarities(matrix.where(F.col("book_id").isin(valid)), query, strategy))
-    statistics = scores.term_statistics(similarity.centred(means, settings))
+    query = {name: (leaves, {b: ex.evaluate(tree, {t: np.array(own[t]) for t in leaves}) for b, own in held.items() if own.keys() >= set(leaves)})}
+    similar = similarity.profiles(matrix.where(F.col("book_id").isin(valid)), query)
+    statistics = scores.term_statistics(similarity.centred(similar, settings))
     own = counts.where(F.col("book_id") == chosen).select("term") if chosen else None
     comparative = [r.asDict() for r in scores.comparative_terms(statistics, settings, own).collect()]
     comparative.sort(key=lambda r: r["term"])
     terms = [c["term"] for c in comparative]
-    queries = query.unionByName(similarity.term_vectors(matrix, terms)) if terms else query
-    similar = similarity.similarities(matrix, queries, strategy)
-    local = scores.local_similarities(similar, scores.anchors(similarity.mean_similarities(similar), settings, chosen))
-    rows = scores.scores(local, scores.seed_counts(matrix), chosen is not None).where(F.col("book_id").isin(asked))
+    own_vectors: dict[str, dict[str, np.ndarray]] = {t: {} for t in terms}
+    for r in matrix.where(F.col("term").isin(terms)).collect() if terms else ():
+        own_vectors[r.term][r.book_id] = np.array(r.vs)
+    similar = similarity.profiles(matrix, query | {t: ([t], own) for t, own in own_vectors.items()})
+    local = scores.local_similarities(scores.anchors(similar, settings, chosen))
+    rows = scores.scores(local, chosen is not None).where(F.col("book_id").isin(asked))
     pairs = [(name, t) for t in leaves] + [(t, t) for t in terms]
-    rows = rows.join(scores.occurrences(counts, spark.createDataFrame(pairs, "expr string, term string")), ["expr", "book_id"], "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
+    counted = scores.occurrences(counts, F.broadcast(spark.createDataFrame(pairs, "expr string, term string")))
+    rows = rows.join(F.broadcast(counted), ["expr", "book_id"], "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
     books = spark.createDataFrame([(b,) for b in asked], "book_id string")
     shared = scores.shared_terms(counts).where(F.col("a").isin(asked) & F.col("b").isin([chosen] if chosen else valid))
     most = shared.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy(F.col("a").alias("book_id")).agg(F.max("n").alias("n"))

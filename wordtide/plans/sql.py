@@ -12,12 +12,20 @@ TERMS = """bt AS (SELECT * FROM book_terms WHERE book_id IS NOT NULL AND term IS
 NOT_ADVERB = "coalesce(NOT (list_distinct(tags) = ['R']), true)"
 SENTENCES = """sent AS (SELECT * FROM token_lemmas WHERE lemmas IS NOT NULL AND s3_token_lemmas_key IS NOT NULL AND sent_ix IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY s3_token_lemmas_key, sent_ix ORDER BY loaded_at DESC NULLS LAST, lemmas DESC NULLS LAST, tags DESC NULLS LAST) = 1)"""
-BOOKS = """raw AS (SELECT 'gutenberg-' || (vec_id % 5 + 1) AS book_id, printf('t%04d', vec_id // 5) AS term, vec_id % 90 + 10 AS count_,
+
+def books(size: int = 16) -> str:
+    """CTEs raw, cut and nv: the embeddings as books of four seeds of `size` dimensions."""
+    return f"""raw AS (SELECT 'gutenberg-' || (vec_id % 5 + 1) AS book_id, printf('t%04d', vec_id // 5) AS term, vec_id % 90 + 10 AS count_,
   CASE WHEN vec_id % 17 = 0 THEN ['R'] ELSE ['N'] END AS tags, embedding::DOUBLE[] AS e FROM embeddings),
-cut AS (SELECT book_id, term, i::INT AS seed_ix, e[i * 16 + 1 : i * 16 + 16] AS w FROM raw, (SELECT unnest(range(4)) AS i)),
+cut AS (SELECT book_id, term, i::INT AS seed_ix,
+  list_transform(range(i * {size}, i * {size} + {size}), lambda j: CASE WHEN j % 2 = 0 THEN e[j % len(e) + 1] ELSE e[j % len(e) + 1] * (j // len(e) + 1) END) AS w
+  FROM raw, (SELECT unnest(range(4)) AS i)),
 nv AS (SELECT book_id, term, seed_ix, list_transform(w, lambda x: x / greatest(sqrt(list_dot_product(w, w)), 1e-12)) AS v FROM cut)"""
 
 
+BOOKS = books()
+
+
 def text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
