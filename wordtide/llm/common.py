@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not where:
         import tempfile
 
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is unset; on a cluster it must name a shared folder")
         where = tempfile.mkdtemp(prefix="wordtide-")
         spark.conf.set("spark.checkpoint.dir", where)
@@ -45,5 +44,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def in_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+#: A group is hot when it holds more than this share of the rows, and at least so many; at most 1 / share groups can be.
+HOT_SHARE, HOT_ROWS = 1 / 512, 2_000
+
+
+def meet(left: DataFrame, right: DataFrame, by: list[str], spread: str) -> DataFrame:
+    """Inner join on `by`. The rows of `left` in a hot group go, by their column `spread`, to as many tasks as the group
+    is times over the limit; its rows of `right` go to each of them.
+
+    The hot groups, at most 1 / HOT_SHARE by arithmetic, are broadcast. Null keys join nothing.
+    """
+    sizes = left.groupBy(*by).agg(F.count("*").alias("_c"))
+    limit = F.greatest(sizes.agg(F.sum("_c") * HOT_SHARE).scalar(), F.lit(HOT_ROWS))
+    hot = F.broadcast(sizes.where(F.col("_c") > limit).select(*by, F.ceil(F.col("_c") / limit).cast("int").alias("_parts")))
+    one = F.coalesce("_parts", F.lit(1))
+    left = left.join(hot, by, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), one).cast("int")).drop("_parts")
+    right = right.join(hot, by, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    return left.join(right, [*by, "_salt"]).drop("_salt")
