@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from conftest_llm import clashing, rows, twice
 from wordtide.llm import leakage, norm, packing, sentences, splitting, tokens, wrapper
@@ -211,15 +212,42 @@ def test_a_text_twice_within_a_page_is_no_template(spark):
     assert {tuple(r) for r in got.collect()} == {(i, n) for i in range(20) for n in (2, 3, 4, 5)}
 
 
+def learnable(data):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(data))), *(pa.array(x) for x in zip(*data))], ["page_id", "host", "url", "html"])
+    streams = list(wrapper._streams([batch]))[0]
+    return pa.RecordBatch.from_arrays([streams.column(1), pa.array([0] * len(data), pa.int32()), pa.array([1] * len(data)), streams.column(4)], ["host", "part", "first", "stream"])
+
+
+def test_rows_in_any_order_and_partitioning_give_the_same_lines(spark, monkeypatch):
+    monkeypatch.setattr(wrapper, "LEARNED", 20)
+    monkeypatch.setattr(wrapper, "MERGED", 2)
+    df = spark.createDataFrame([(i, u, h) for i, u, h, _ in pages(300, 3)], "page_id bigint, url string, html string")
+    got = [sorted(map(tuple, wrapper.main_lines(x).collect())) for x in (df.coalesce(1), df.repartition(7), df.orderBy(F.rand(5)).repartition(3))]
+    assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_parts_that_repeat_are_found():
+    w = wrapper.Wrapper()
+    reply = "<section><p>reader {} wrote: so it is with page {} of the book</p></section>"
+    for i in range(40):
+        w.learn(wrapper.read("<div><p>Home</p><p>Search</p></div>" + "".join(reply.format(chr(97 + k), f"{i:b}".replace("1", "x").replace("0", "y")) for k in range(1 + i % 5))))
+    assert any(n[3] and n[0] == "section" for n in w.nodes) and len(w.nodes) <= 4
+
+
+def test_a_message_of_many_hosts_is_no_body(spark):
+    data = [(i, f"http://h{i % 4}/{i}", f"<div><p>Home</p><p>Search</p></div><div><p>{' '.join(f'{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}' for k in range(30))}</p></div>") for i in range(80)]
+    data += [(100 + i, f"http://h{i}/x", f"<div><p>Home</p><p>Search</p></div><div><p>Please sign in first.</p></div><!-- {i} -->") for i in range(4)]
+    got = {r.page_id for r in wrapper.main_lines(spark.createDataFrame(data, "page_id bigint, url string, html string")).collect()}
+    assert got == set(range(80))
+
+
 def test_pages_of_a_value_are_counted_in_full(spark, monkeypatch):
     monkeypatch.setattr(wrapper, "KEPT", 5)
     monkeypatch.setattr(wrapper, "COUNTS", 50)
     data = [("h", f"http://h/{i}", f"<div><p>new {chr(97 + i % 26)}{chr(97 + i // 26)}</p><p>kept</p>{'<p>now and then</p>' if i % 40 == 0 else ''}</div>") for i in range(400)]
-    streams = list(wrapper._streams([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*data)], ["host", "url", "html"])]))[0]
-    batch = pa.RecordBatch.from_arrays([streams.column(0), pa.array([1] * 400), streams.column(3)], ["host", "first", "stream"])
     n = Counter()
-    for part in wrapper._learn([batch]):
-        for value, pages_ in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+    for part in wrapper._learn([learnable(data)]):
+        for value, pages_ in zip(part.column("value").to_pylist(), part.column("pages").to_pylist()):
             n[value] += pages_ if value else 0
     assert n["kept"] == 400 and n["now and then"] == 10 and n["new aa"] == 1
 
@@ -231,10 +259,9 @@ def test_parts_beyond_the_nodes_still_count(monkeypatch):
         tags = ["nav", "aside", "section", "article", "form", "header", "footer", "main", "center", "dl"]
         parts = [f"<{x}><p>notice of {x}</p><p>see the {x}</p></{x}>" for k, x in enumerate(tags) if (i + k) % 7 == 0]
         data.append(("h", f"http://h/{i}", "".join(parts) + f"<div><p>body {chr(97 + i % 26)}{chr(97 + i // 26)}</p></div>"))
-    streams = list(wrapper._streams([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*data)], ["host", "url", "html"])]))[0]
     n, nodes = Counter(), 0
-    for part in wrapper._learn([pa.RecordBatch.from_arrays([streams.column(0), pa.array([1] * 200), streams.column(3)], ["host", "first", "stream"])]):
-        for blob, value, count in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
+    for part in wrapper._learn([learnable(data)]):
+        for blob, value, count in zip(*(part.column(x).to_pylist() for x in ("wrapper", "value", "pages"))):
             nodes += len(wrapper.Wrapper.unpack(blob).nodes) if blob else 0
             n[value] += count
     assert nodes <= 8 and all(n[f"notice of {x}"] == sum((i + k) % 7 == 0 for i in range(200)) for k, x in enumerate(tags))
