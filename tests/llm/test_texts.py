@@ -57,6 +57,32 @@ def test_a_second_pass_changes_nothing(text):
 BOOK = "book_id string, term string, count_ bigint"
 
 
+def test_half_width_kana_take_their_voicing_mark():
+    for f in (norm.skeleton, norm.consistent):
+        assert [f(x) for x in ("ｶﾞ", "ﾊﾟ", "ｶﾞｽ", "ｶﾞ", "ｶ゙")] == ["ガ", "パ", "ガス", "ガ", "ガ"]
+        assert f("ﾡￂ") == unicodedata.normalize("NFC", unicodedata.normalize("NFKC", "ﾡￂ"))
+        assert f("\U0001fbf3") == "3"
+    assert norm.skeleton("Ꭱⲟᴠꓐ") == "RovB"
+
+
+def test_a_second_pass_changes_nothing_in_any_mixture():
+    mapped = [*norm.transducer(True).table, *norm.LOOKALIKES, *map(chr, range(0x300, 0x370)), *"ｶﾞﾟｱか゛゜ガabcdeAOK  -"]
+    rng = random.Random(7)
+    for _ in range(20_000):
+        text = "".join(rng.choice(mapped) if rng.random() < 0.7 else rng.choice("abcoeｶﾞﾟ\u3099\u0327\u0301") for _ in range(rng.randrange(1, 7)))
+        for f in (norm.skeleton, norm.consistent):
+            once = f(text)
+            assert f(once) == once
+
+
+def test_copies_of_one_string_meet_only_other_strings(spark, monkeypatch):
+    monkeypatch.setattr("wordtide.llm.common.HOT_ROWS", 3)
+    df = spark.createDataFrame([(i, "b", "one text" if i < 300 else "one\u00a0text") for i in range(302)], "doc_id bigint, book_id string, text string")
+    bt = spark.createDataFrame([], "book_id string, term string")
+    got = rows(norm.lookalike_pairs(bt, df))
+    assert len(got) == len(set(got)) == 600 and all((int(a) < 300) != (int(b) < 300) and a < b for _, _, a, b in got)
+
+
 def test_lookalike_pairs(spark):
     long = "word " * 40_000
     data = [("b", "corn"), ("b", "cоrn"), ("b", "corn​"), ("b", "corn "), ("b", "Corn"), ("c", "corn"), ("b", None), (None, "corn"), ("b", ""), ("b", " "), ("b", "corn")]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, meet
 
 # Letters of other scripts that look like a Latin letter, in pairs.
 LOOKALIKES = {
@@ -28,8 +28,14 @@ LOOKALIKES = {
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "ν": "v", "ο": "o", "ρ": "p", "ϲ": "c", "ϳ": "j", "Ϲ": "C",
-    # Armenian and Latin
-    "Օ": "O", "օ": "o", "ɑ": "a", "ɡ": "g",
+    # Armenian, Coptic, Cherokee and Latin
+    "Օ": "O", "օ": "o", "Տ": "S", "Լ": "L", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i",
+    "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲭ": "X", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲧ": "T",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮪ": "S",
+    "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B", "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K",
+    "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W",
+    "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z",
 }
 # Hyphens that look like the hyphen-minus.
 HYPHENS = "‐‑﹣－"
@@ -37,8 +43,9 @@ HYPHENS = "‐‑﹣－"
 UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 # Signs of category Cf that do show.
 SEEN = "؀؁؂؃؄؅۝܏࢐࢑࣢"
-#: Code points looked through when the mapping is compiled; elsewhere nothing maps but the blocks' composed forms.
-SPAN = [*range(0x80, 0x3400), *range(0xA000, 0xA800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x10000, 0x12000), *range(0x16A00, 0x17000), *range(0x1D100, 0x1D400), *range(0x1E000, 0x1EA00), *range(0xE0000, 0xE0200), *range(0x2F800, 0x2FA20)]
+#: Code points looked through when the mapping is compiled: all planes that have characters, without ASCII, surrogates
+#: and the areas for private use, for which there is no form.
+SPAN = [*range(0x80, 0xD800), *range(0xF900, 0x40000), *range(0xE0000, 0xE0200)]
 _KINDS = ("<wide>", "<narrow>", "<font>")
 
 
@@ -63,19 +70,25 @@ class Transducer:
 
     def __init__(self, lookalikes: bool) -> None:
         self.lookalikes = lookalikes
+        # only what has a decomposition, is a mark, a blank, a sign of category Cf or on a list can map or join
+        listed = {*LOOKALIKES, *HYPHENS, *UNSEEN}
+        special = [c for c in map(chr, SPAN) if c in listed or unicodedata.decomposition(c) or unicodedata.category(c) in ("Cf", "Zs", "Mn", "Mc")]
         table: dict[str, str] = {}
-        for c in map(chr, SPAN):
+        for c in special:
             to = _single(c, lookalikes)
             if to != c:
                 table[c] = to
         for c, to in table.items():
             if any(x in table for x in to):
                 raise ValueError(f"conflict: {c!r} becomes {to!r}, which is mapped itself")
-        # what can join the character before it: combining marks and the second halves of composed characters
-        marks = {c for c in map(chr, SPAN) if unicodedata.combining(c)} | {chr(c) for c in range(0x1161, 0x1200)}
-        marks |= {d[-1] for d in (unicodedata.normalize("NFD", chr(c)) for c in SPAN if unicodedata.decomposition(chr(c))[:1] not in ("", "<")) if len(d) > 1}
+        # what can join the character before it: combining marks, the second halves of composed characters, and whatever
+        # becomes or is composed of these, such as half-width voicing marks and half-width vowels
+        marks = {c for c in special if unicodedata.combining(c)} | {chr(c) for c in range(0x1161, 0x1200)}
+        composed = {c: unicodedata.normalize("NFD", c) for c in special if unicodedata.decomposition(c)[:1] not in ("", "<")}
+        marks |= {d[-1] for d in composed.values() if len(d) > 1}
+        marks |= {c for c, d in composed.items() if d[0] in marks} | {c for c, to in table.items() if to and to[0] in marks}
         mark, unseen, any_of = (_ranges(x) for x in (sorted(marks), [c for c, to in table.items() if not to], list(table)))
-        self.table = table
+        self.table, self.mark = table, mark
         self.plain = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
         self.unseen = re.compile(f"[{unseen}]")
         # only what is not ASCII, with the character before it, is looked at closely
@@ -126,8 +139,9 @@ def transducer(lookalikes: bool) -> Transducer:
 
 @cache
 def _mixed() -> tuple[re.Pattern, re.Pattern, dict[int, str]]:
-    other = "".join(c for c in LOOKALIKES if "LATIN" not in unicodedata.name(c))
-    return re.compile(r"(?=[\ẁ-ͯ]*[A-Za-z])(?=[\ẁ-ͯ]*[Ͱ-ӿԀ-֏])[\ẁ-ͯ]+"), re.compile(f"[{other}]"), {ord(c): to for c, to in LOOKALIKES.items()}
+    other = "".join(c for c in LOOKALIKES if "LATIN" not in unicodedata.name(c)) + "Ͱ-֏ἀ-῿"
+    word = rf"[\w{transducer(False).mark}]"
+    return re.compile(rf"(?={word}*[A-Za-z])(?={word}*[{other}]){word}+"), re.compile(f"[{other}]"), {ord(c): to for c, to in LOOKALIKES.items()}
 
 
 def consistent(text: str) -> str:
@@ -162,8 +176,8 @@ def lookalike_pairs(book_terms: DataFrame, documents: DataFrame) -> DataFrame:
     """(kind, book_id, key_a, key_b): different strings of one book whose skeletons are equal.
 
     Terms are compared without blank space at their ends, texts whole. Null books, terms and texts give no case; copies
-    of one string are not a case, but each of two copies is one with a third string that looks like it. Groups that hold
-    one string only, however many rows, are left before pairs are formed.
+    of one string are not a case, but each of two copies is one with a third string that looks like it. Pairs are formed
+    between different strings only, however many rows hold them; large groups are spread over tasks.
     """
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +209,11 @@ def lookalike_pairs(book_terms: DataFrame, documents: DataFrame) -> DataFrame:
     rows = cut(terms.unionByName(texts).mapInArrow(forms, "kind string, book_id string, key string, form binary, raw binary"))
     by = ["kind", "book_id", "form"]
     many = rows.groupBy(*by).agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select(*by)
-    rows = rows.join(many, by, "left_semi").distinct()
-    other = rows.select(*by, F.col("key").alias("key_b"), F.col("raw").alias("raw_b"))
-    pairs = rows.select(*by, F.col("key").alias("key_a"), F.col("raw").alias("raw_a")).join(other, by)
-    return pairs.where("key_a < key_b and raw_a <> raw_b").select("kind", "book_id", "key_a", "key_b")
+    rows = cut(rows.join(many, by, "left_semi").distinct())
+    # pairs of different strings first, then the rows of either: copies of one string never meet
+    texts = rows.select(*by, "raw").distinct()
+    unlike = meet(texts.withColumnRenamed("raw", "raw_a"), texts.withColumnRenamed("raw", "raw_b"), by, "raw_a").where("raw_a < raw_b")
+    # Spark broadcasts the pairs of strings where they are few and splits large partitions of copies where they are many
+    pairs = rows.select(*by, F.col("key").alias("x"), F.col("raw").alias("raw_a")).join(unlike, [*by, "raw_a"])
+    pairs = pairs.join(rows.select(*by, F.col("key").alias("y"), F.col("raw").alias("raw_b")), [*by, "raw_b"])
+    return pairs.select("kind", "book_id", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
