@@ -1,8 +1,9 @@
 """Splitting oversized items at natural boundaries: structure-tree packing.
 
-A text is parsed into a tree: sections under their headings, paragraphs and lists, list items, sentences, words, parts of words. Every
-node that fits is kept whole, neighbouring siblings are merged up to the limit, and only nodes over the limit are
-descended into. Each piece begins with the last tokens of the one before.
+A text is parsed into a tree: sections under their headings, paragraphs and lists, list items, sentences, words, parts
+of words. From the bottom up, sibling subtrees that fit are merged up to the limit, and only nodes over the limit are
+descended into. What is left over of a node that was descended into joins its siblings only where it is too small to
+stand alone, so pieces keep to sections. Each piece begins with the last tokens of the one before.
 """
 
 from __future__ import annotations
@@ -91,53 +92,78 @@ class _Packer:
 
     def __init__(self, text: str, begins: np.ndarray, whole: np.ndarray, room: int) -> None:
         self.text, self.begins, self.whole, self.room = text, begins, whole, room
-        self.start = self.end = 0
-        self.kind = "text"
-        self.out: list[tuple[int, str]] = []
-
-    def _close(self) -> None:
-        if self.end > self.start:
-            self.out.append((self.end, self.kind))
-            self.start = self.end
-
-    def add(self, node: Node) -> None:
-        last = int(np.searchsorted(self.begins, node.end))
-        if last <= self.end:
-            return
-        if last - self.start <= self.room:
-            self.end, self.kind = last, node.kind
-            return
-        fits = last - self.end <= self.room
-        # an oversized part begins in the piece before it only if that is still small, as under a heading
-        if fits or self.end - self.start > self.room // 2:
-            self._close()
-        if fits:
-            self.end, self.kind = last, node.kind
-            return
+
+    def _last(self, node: Node) -> int:
+        return int(np.searchsorted(self.begins, node.end))
+
+    def pack(self, node: Node, start: int, lead: int | None = None) -> list[tuple[int, str, str]]:
+        """(end, kind, standing) of the pieces of an oversized node, from token `start`, or from `lead` if something small
+        begins there that belongs to the first of them. Standing: 'whole' for merged subtrees, 'heading' for a heading
+        without anything under it yet, 'rest' for the last piece of a subtree that was descended into."""
+        begin = start if lead is None else lead
+        out: list[tuple[int, str, str]] = [] if lead is None else [(start, "heading", "heading")]
+        at = start
         for part in _descend(self.text, node):
-            self.add(part)
-        if last - self.end > self.room:
-            self._tokens(last)
-        elif last > self.end:
-            if last - self.start > self.room:
-                self._close()
-            self.end, self.kind = last, node.kind
-
-    def _tokens(self, last: int) -> None:
+            last = self._last(part)
+            if last <= at:
+                continue
+            if last - at <= self.room:
+                out.append((last, part.kind, "heading" if part.kind == "heading" else "whole"))
+            else:
+                # a heading, or too little to stand alone, leads the first piece of what follows
+                head, out = None, self._merged(out, begin)
+                if out:
+                    first = out[-2][0] if len(out) > 1 else begin
+                    if out[-1][2] == "heading" or at - first <= self.room // 4:
+                        head = first
+                        out.pop()
+                own = self.pack(part, at, head)
+                out += own[:-1] + [(own[-1][0], own[-1][1], "rest")]
+            at = last
+        last = self._last(node)
+        if out and last > out[-1][0] and last - out[-1][0] <= self.room:
+            out.append((last, out[-1][1], "whole"))  # blank space at the end
+        elif not out or last > out[-1][0]:
+            out += self._tokens(out[-1][0] if out else begin, last)
+        return self._merged(out, begin)
+
+    def _merged(self, parts: list[tuple[int, str, str]], begin: int) -> list[tuple[int, str, str]]:
+        out: list[tuple[int, str, str]] = []
+        first = before = begin  # where the last piece of `out` begins, and where its last part does
+        for end, kind, standing in parts:
+            size = out[-1][0] - first if out else 0
+            rest = bool(out) and out[-1][2] == "rest" and size > self.room // 2
+            if out and end - first <= self.room and not rest:
+                before = out[-1][0]
+                out[-1] = (end, kind, standing)
+                continue
+            if out and out[-1][2] == "heading" and before > first and end - before <= self.room:
+                # a heading goes with what follows it
+                out[-1] = (before, "section", "whole")
+                first = before
+                out.append((end, kind, standing))
+                continue
+            first = out[-1][0] if out else begin
+            before = first
+            out.append((end, kind, standing))
+        return out
+
+    def _tokens(self, start: int, last: int) -> list[tuple[int, str, str]]:
         """What has no parts is cut between tokens, at a whole character."""
-        while last - self.start > self.room:
-            cut = self.start + self.room
-            while cut > self.start + 1 and not self.whole[cut]:
+        out = []
+        while last - start > self.room:
+            cut = start + self.room
+            while cut > start + 1 and not self.whole[cut]:
                 cut -= 1
-            self.end, self.kind = cut, "token"
-            self._close()
-        self.end = last
+            out.append((cut, "token", "rest"))
+            start = cut
+        return [*out, (last, "token", "rest")]
 
     def ends(self) -> list[tuple[int, str]]:
-        self.add(tree(self.text))
-        self.end = len(self.begins) - 1
-        self._close()
-        return self.out
+        root = tree(self.text)
+        root.end = len(self.text)
+        found = self.pack(root, 0)
+        return [(end, kind) for end, kind, _ in found]
 
 
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, folder: str = FOLDER, name: str = NAME) -> list[tuple[int, int, int, str]]:
