@@ -3,11 +3,12 @@
 Each task counts its rows in a burst trie: inner nodes branch on a character, containers hold the rest of a term and
 its counters, and a container that grows too large bursts into an inner node. Finished tries are cut into subtrees at
 routing prefixes and sent, front-coded, to the task that merges the subtrees of that prefix. The prefixes adapt to the
-vocabulary: one that would hold too large a share is extended by a character, so no subtree outgrows a task.
+vocabulary: one that would hold too many terms is extended, as far as its terms go, so no subtree outgrows a task.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import current_terms
+from .common import current_terms, cut
 
 #: Entries of a container before it bursts; entries of a task's trie before it is sent on and begun anew.
 CONTAINER, TRIE = 256, 400_000
-#: A prefix with more than 1 / ROUTES of the vocabulary is extended, up to DEPTH characters.
-ROUTES, DEPTH = 128, 8
+#: A prefix with more than 1 / ROUTES of the different terms, or more than ENTRIES of them, is extended.
+ROUTES, ENTRIES = 128, 50_000
+#: Characters by which prefixes are extended at once when they are counted.
+STEP = 4
 
 
 class BurstTrie:
@@ -106,7 +109,7 @@ def unpack(blob: bytes) -> Iterator[tuple[str, list[int]]]:
 def route(term: str, heavy: frozenset[str]) -> str:
     """The longest heavy prefix of the term and one character more."""
     n = 0
-    while n < len(term) and n < DEPTH and term[:n] in heavy:
+    while n < len(term) and term[:n] in heavy:
         n += 1
     return term[:n]
 
@@ -155,11 +158,33 @@ def count_terms(rows: DataFrame, heavy: frozenset[str]) -> DataFrame:
     return sent.mapInArrow(merge, "term string, occurrences bigint, records bigint, rows bigint")
 
 
-def heavy_prefixes(terms: DataFrame, routes: int = ROUTES) -> frozenset[str]:
-    """Prefixes of more than 1 / routes of all rows. At most routes x DEPTH of them exist, whatever the input."""
-    parts = terms.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length("term"), F.lit(DEPTH)), F.lit(1))), lambda n: F.substring("term", F.lit(1), n))).alias("p"))
-    most = terms.agg(F.count("*") / routes).scalar()
-    return frozenset(["", *(x.p for x in parts.groupBy("p").count().where(F.col("count") > most).select("p").collect())])
+def heavy_prefixes(terms: DataFrame, routes: int = ROUTES, entries: int = ENTRIES) -> frozenset[str]:
+    """Prefixes with more than 1 / routes, or more than `entries`, of the different terms, the empty one included.
+
+    Prefixes of any length are found, STEP characters at a time; where all terms of a heavy prefix go on alike, as URLs
+    of one site do, the common part is passed over at once. There are as many as terms / limit times their length.
+    """
+    different = cut(terms.where("term is not null").select("term").distinct())
+    limit = max(1, min(entries, different.count() / routes))
+    heavy, edge = {""}, {""}
+    while edge:
+        by_length: dict[int, list[str]] = {}
+        for p in edge:
+            by_length.setdefault(len(p), []).append(p)
+        # code points are counted alike here and in Spark
+        known = F.coalesce(*(F.when(F.substring("term", 1, n).isin(own) if n else F.lit(True), F.lit(n)) for n, own in sorted(by_length.items(), reverse=True)), F.lit(None).cast("int"))
+        rows = different.withColumn("n", known).where((F.col("n") >= 0) & (F.length("term") > F.col("n")))
+        ends = F.sequence(F.col("n") + 1, F.least(F.length("term"), F.col("n") + STEP))
+        parts = rows.select("term", "n", F.explode(F.transform(ends, lambda k: F.substring("term", F.lit(1), k))).alias("p"))
+        found = parts.groupBy("p").agg(F.count("*").alias("c"), F.min("term").alias("low"), F.max("term").alias("high"), F.max("n").alias("n")).where(F.col("c") > limit).collect()
+        edge = set()
+        for r in found:
+            heavy.add(r.p)
+            if len(r.p) == r.n + STEP:
+                far = len(os.path.commonprefix([r.low, r.high]))
+                heavy |= {r.low[:k] for k in range(len(r.p), far + 1)}
+                edge.add(r.low[: max(far, len(r.p))])
+    return frozenset(heavy)
 
 
 def term_frequencies(book_terms: DataFrame, corpus_terms: DataFrame, min_books: int = 3, min_occurrences: int = 60, max_share: float = 0.5) -> DataFrame:
@@ -178,7 +203,7 @@ def term_frequencies(book_terms: DataFrame, corpus_terms: DataFrame, min_books:
     rows = ids.select("term", zero.alias("occurrences"), one.alias("records"), one.alias("rows"))
     rows = rows.unionByName(corpus.select("term", zero.alias("occurrences"), zero.alias("records"), one.alias("rows")))
     rows = rows.unionByName(current.select("term", F.col("count_").alias("occurrences"), zero.alias("records"), zero.alias("rows")))
-    counted = count_terms(rows, heavy_prefixes(corpus.select("term"))).where("rows > 0")
+    counted = count_terms(rows, heavy_prefixes(corpus.select("term").unionByName(book_terms.select("term")))).where("rows > 0")
     books = current.agg(F.count_distinct("book_id").alias("n")).scalar()
     mark = F.when(F.col("records") > books * F.lit(max_share), "common").when((F.col("records") < min_books) | (F.col("occurrences") < min_occurrences), "rare")
     return counted.select("term", "occurrences", F.col("records").alias("books"), mark.alias("mark"))
