@@ -2,8 +2,9 @@
 
 Each task turns its records into stripes, an associative array of neighbours per item, adds them up in memory and sends
 them as sorted, packed arrays; the task that owns an item merges its stripes. Items are 64-bit hashes until the end. A
-pair is held once, under the smaller hash, and a stripe is cut into segments by its neighbours' hashes, so that an
-item met in a third of all records is merged by several tasks.
+pair is held once, under the smaller hash. The stripe of an item that holds a large share of all tokens is cut into
+segments by its neighbours' hashes, in proportion to that share, so that it is merged by many tasks. Stripes travel in
+blocks sorted by their first neighbour, so merging streams: what lies before the next block is done with.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from .common import cut
 
 #: Pairs that a task holds before it adds them up, and different pairs before it sends them on.
 HELD, SENT = 4_000_000, 3_000_000
-#: Bits of the neighbour's hash that cut a stripe into segments.
-SEGMENT = 2
+#: An item with more than this share of all tokens is cut into segments, one for each such share, up to 2 ** BITS.
+SHARE, BITS = 1 / 512, 16
+#: Neighbours in a block of a stripe, and pairs that a merging task gathers before it adds them up.
+BLOCK, GATHERED = 65_536, 400_000
 
 
 def _add(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +78,21 @@ def _pairs(row: np.ndarray, at_once: int = 2_000_000) -> Iterator[tuple[np.ndarr
         start = stop
 
 
+def segments(token_lemmas: DataFrame) -> dict[int, int]:
+    """Hash -> bits of the neighbours' hashes that cut the item's stripe, for items with more than SHARE of all tokens: at
+    most 1 / SHARE of them, counted before the shuffle."""
+    import xxhash
+
+    items = token_lemmas.select(F.explode("lemmas").alias("item")).where("item <> ''").groupBy("item").agg(F.count("*").alias("n"))
+    total = items.agg(F.sum("n")).scalar()
+    rows = items.where(F.col("n") > total * F.lit(SHARE)).select("item", (F.col("n") / total).alias("share")).collect()
+    out = {}
+    for r in rows:
+        code = xxhash.xxh64_intdigest(r.item.replace("\0", "").encode("utf-8", "surrogatepass"))
+        out[code - (code >> 63 << 64)] = min(BITS, max(1, int(np.ceil(np.log2(r.share / SHARE)))))
+    return out
+
+
 def stripe_counts(token_lemmas: DataFrame) -> DataFrame:
     """(a, b, item, segment, n): the merged stripes. segment >= 0: n records hold the items of hash a and b, a below b;
     -1: n records hold `item`, of hash a; -2: there are n records.
@@ -85,6 +103,7 @@ def stripe_counts(token_lemmas: DataFrame) -> DataFrame:
     rows = token_lemmas.where("lemmas is not null and s3_token_lemmas_key is not null and sent_ix is not null")
     rows = rows.select(F.xxhash64("s3_token_lemmas_key").alias("k"), F.col("sent_ix").cast("bigint").alias("s"), F.col("loaded_at").alias("at"), _joined(F.col("lemmas")).alias("lemmas"))
     rows = rows.repartition("k", "s").sortWithinPartitions("k", "s", F.desc_nulls_last("at")).select("k", "s", "lemmas")
+    hot = segments(token_lemmas)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -95,6 +114,7 @@ def stripe_counts(token_lemmas: DataFrame) -> DataFrame:
         held: list[np.ndarray] = []
         size, sums, counts = 0, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         records = 0
+        names_ = ["a", "segment", "first", "item", "neighbours", "counts"]
 
         def add_up() -> None:
             nonlocal held, size, sums, counts
@@ -113,10 +133,16 @@ def stripe_counts(token_lemmas: DataFrame) -> DataFrame:
             nonlocal sums, counts
             a, b = items[sums >> 32], items[sums & 0xFFFFFFFF]
             low, high = np.minimum(a, b), np.maximum(a, b)
-            segment = np.where(low == high, -1, (high >> np.int64(64 - SEGMENT)) & ((1 << SEGMENT) - 1))
+            segment = np.where(low == high, -1, 0)
+            for item, bits in hot.items():
+                of = np.flatnonzero((low == item) & (high != item))
+                segment[of] = (high[of] >> np.int64(64 - bits)) & ((1 << bits) - 1)
             order = np.lexsort((high, segment, low))
             low, high, segment, n = low[order], high[order], segment[order], counts[order]
             cut = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (segment[1:] != segment[:-1])])) if len(low) else np.zeros(0, dtype=np.int64)
+            long = np.append(cut[1:], len(low)) - cut > BLOCK
+            if long.any():
+                cut = np.unique(np.concatenate([cut, *(np.arange(s, e, BLOCK) for s, e in zip(cut[long], np.append(cut[1:], len(low))[long]))]))
             ends = np.append(cut[1:], len(low))
             name = {int(i): x for i, x in zip(items, names)}
             for at in range(0, len(cut), 2000):
@@ -125,11 +151,12 @@ def stripe_counts(token_lemmas: DataFrame) -> DataFrame:
                     [
                         pa.array([x[0] for x in block], pa.int64()),
                         pa.array([x[1] for x in block], pa.int32()),
+                        pa.array([int(high[x[2]]) for x in block], pa.int64()),
                         pa.array([name[x[0]] if x[1] == -1 else None for x in block], pa.string()),
                         pa.array([high[s:e].tobytes() for _, _, s, e in block], pa.binary()),
                         pa.array([n[s:e].astype("<u4").tobytes() for _, _, s, e in block], pa.binary()),
                     ],
-                    ["a", "segment", "item", "neighbours", "counts"],
+                    names_,
                 )
             sums, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
@@ -164,12 +191,14 @@ def stripe_counts(token_lemmas: DataFrame) -> DataFrame:
                         yield from send()
         add_up()
         yield from send()
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([-2], pa.int32()), pa.array([None], pa.string()), pa.array([np.array([0], dtype=np.int64).tobytes()], pa.binary()), pa.array([np.array([records], dtype="<u8").tobytes()], pa.binary())], ["a", "segment", "item", "neighbours", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([-2], pa.int32()), pa.array([0], pa.int64()), pa.array([None], pa.string()), pa.array([np.array([0], dtype=np.int64).tobytes()], pa.binary()), pa.array([np.array([records], dtype="<u8").tobytes()], pa.binary())], names_)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, name, high, n = None, None, [], []
+        now, name, high, n, held = None, None, [], [], 0
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out(before: int | None = None) -> Iterator[pa.RecordBatch]:
+            """The sums of what is gathered, or only of the neighbours below `before`."""
+            nonlocal high, n, held
             if now is None:
                 return
             a, segment = now
@@ -178,19 +207,27 @@ def stripe_counts(token_lemmas: DataFrame) -> DataFrame:
             else:
                 b, back = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in high]), return_inverse=True)
                 total = np.zeros(len(b), dtype=np.int64)
-                np.add.at(total, back, np.concatenate([np.frombuffer(x, "<u4") for x in n]).astype(np.int64))
+                # sums held back have 8 bytes a count, as many as a neighbour's hash; what was sent has 4
+                np.add.at(total, back, np.concatenate([np.frombuffer(x, "<i8" if len(x) == len(y) else "<u4").astype(np.int64) for x, y in zip(n, high)]))
+                if before is not None:
+                    at = int(np.searchsorted(b, before))
+                    high, n, held = [b[at:].tobytes()], [total[at:].astype("<i8").tobytes()], len(b) - at
+                    b, total = b[:at], total[:at]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(b), pa.array([name] * len(b), pa.string()), pa.array(np.full(len(b), segment, dtype=np.int32)), pa.array(total)], ["a", "b", "item", "segment", "n"])
 
         def whole() -> Iterator[pa.RecordBatch]:
-            nonlocal now, name, high, n
+            nonlocal now, name, high, n, held
             for batch in batches:
-                for a, segment, item, neighbours, counts in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                for a, segment, first, item, neighbours, counts in zip(*(batch.column(i).to_pylist() for i in range(6))):
                     if (a, segment) != now:
                         yield from out()
-                        now, name, high, n = (a, segment), None, [], []
+                        now, name, high, n, held = (a, segment), None, [], [], 0
+                    elif held > GATHERED:
+                        yield from out(first)
                     name = name if name is not None else item
                     high.append(neighbours)
                     n.append(counts)
+                    held += len(neighbours) // 8
             yield from out()
 
         # few large batches rather than one for each stripe
@@ -204,8 +241,8 @@ def stripe_counts(token_lemmas: DataFrame) -> DataFrame:
         if wait:
             yield pa.Table.from_batches(wait).combine_chunks().to_batches()[0]
 
-    sent = rows.mapInArrow(build, "a bigint, segment int, item string, neighbours binary, counts binary")
-    sent = sent.repartition("a", "segment").sortWithinPartitions("a", "segment")
+    sent = rows.mapInArrow(build, "a bigint, segment int, first bigint, item string, neighbours binary, counts binary")
+    sent = sent.repartition("a", "segment").sortWithinPartitions("a", "segment", "first")
     return sent.mapInArrow(merge, "a bigint, b bigint, item string, segment int, n bigint")
 
 
