@@ -10,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-def _folder(spark: SparkSession) -> Path:
+def shared_folder(spark: SparkSession) -> Path:
+    """A new folder for files that Spark's file server hands out: in the shared checkpoint folder, if the driver may write there."""
     shared = re.sub("^file:(//)?", "", spark.conf.get("spark.checkpoint.dir", None) or "")
     if shared.startswith("/"):
         try:
@@ -31,7 +32,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_wordtide_sent", False):
         return
     root = Path(__file__).resolve().parents[1]
-    path = _folder(spark) / "wordtide.zip"
+    path = shared_folder(spark) / "wordtide.zip"
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
