@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from conftest_llm import at, clashing, rows, twice
 from wordtide.llm import burst, dfr, overlap, stripes
@@ -264,3 +265,42 @@ def test_significance(spark):
     r = stripes.cooccurrences(df).first()
     want = 2 * (100 * math.log(100) - 90 * math.log(90) - 10 * math.log(10))
     assert (r.item_a, r.item_b, r.n_ab, r.lift) == ("a", "b", 10, 10.0) and r.llr == pytest.approx(want)
+
+
+def test_a_hot_item_goes_to_many_segments_and_streams(spark, monkeypatch):
+    data = [("k", i, ["hot", f"w{i % 40}", f"v{i % 30}"]) for i in range(1200)]
+    df = spark.createDataFrame(data, "s3_token_lemmas_key string, sent_ix bigint, lemmas array<string>").withColumn("loaded_at", F.lit(None).cast("timestamp")).repartition(6)
+    want = rows(stripes.cooccurrences(df, 5, 0.0))
+    assert max(stripes.segments(df).values()) >= 7
+    for name, value in (("BLOCK", 3), ("GATHERED", 7), ("SENT", 50), ("HELD", 60), ("SHARE", 1 / 64)):
+        monkeypatch.setattr(stripes, name, value)
+    assert rows(stripes.cooccurrences(df, 5, 0.0)) == want and len(want) > 100
+
+
+def test_terms_with_a_long_common_beginning_are_routed_apart(spark):
+    site = "https://books.invalid/shelf/"
+    data = [(f"{site}{i:04d}",) for i in range(3000)] + [(f"{site}{i}/page",) for i in range(20)] + [("word",), (site,)]
+    heavy = burst.heavy_prefixes(spark.createDataFrame(data * 2, "term string"), routes=16, entries=100)
+    sizes = Counter(burst.route(t, heavy) for t, in data)
+    assert max(sizes.values()) <= 100 and all(site[:k] in heavy for k in range(len(site) + 1))
+    ct = spark.createDataFrame([(t, ["b"], 1) for t, in data], CT)
+    got = burst.term_frequencies(terms(spark, EDGES), ct)
+    assert got.count() == len(data)
+
+
+def test_candidates_lose_no_leader(spark):
+    rng = random.Random(3)
+    data = [(f"b{b}", f"t{int(rng.paretovariate(0.7)) % 400}", int(rng.paretovariate(0.6)) - rng.randrange(2)) for b in range(40) for _ in range(120)]
+    weights = dfr.term_weights(terms(spark, [(b, t, n, 0) for b, t, n in {(b, t): (b, t, n) for b, t, n in data}.values()]))
+    score = F.when(F.col("tf") > 0, F.col("tf") * F.log(F.col("all_books") / F.col("n_books"))).otherwise(0.0)
+    best = {}
+    for r in weights.withColumn("s", score).collect():
+        best.setdefault(r.book_id, []).append((r.s, r.term))
+    kept = {(r.book_id, r.term) for r in dfr.candidates(weights, 1.57).collect()}
+    want = set()
+    for book, own in best.items():
+        own.sort(reverse=True)
+        assert all((book, t) in kept for s, t in own if s * 1.57 >= own[0][0] and s > 0)
+        if len(own) > 1 and own[0][0] > own[1][0] and own[0][0] >= 1.57 * own[1][0]:
+            want.add((book, own[0][1]))
+    assert set(rows(dfr.standout_terms(weights))) == want and want and len(kept) < weights.count()
