@@ -109,3 +109,20 @@ def test_paged_listing():
     assert http.listed_ids(fetch, pause=0) == ids
     ids = ids[:50]
     assert http.listed_ids(fetch, pause=0) == ids and http.listed_ids(lambda start: "", pause=0) == []
+
+
+def test_csv_round_trip(spark):
+    data = [(i, x) for i, x in enumerate([["a", "b"], [""], ["", ""], ['q"q', "x,y"], ["line\nbreak", "cr\r\nlf"], ["one"]])]
+    df = spark.createDataFrame(data, "k int, tokens array<string>")
+    back = readers.csv_rows(sinks.csv_lines(df, "tokens"), "k", "line").collect()
+    assert sorted((r.k, r.tokens) for r in back) == data and {r.sent_ix for r in back} == {0}
+    assert readers.csv_rows(spark.createDataFrame([(1, None), (2, "")], "k int, line string"), "k", "line").count() == 0
+
+
+def test_models_of_other_books_stay(spark, tmp_path):
+    rows = spark.createDataFrame([("b1", 0, "x", [1.0]), ("b1", 1, "x", [2.0]), ("b2", 0, "x", [3.0])], "book_id string, seed int, term string, v array<double>")
+    centre = spark.createDataFrame([("b1", "x", 1.5), ("b2", "x", 3.0)], "book_id string, term string, x double")
+    sinks.write_models(rows, centre, str(tmp_path / "m"))
+    sinks.write_models(rows.where("book_id = 'b1' and seed = 1").withColumn("v", F.array(F.lit(9.0))), centre.where("book_id = 'b1'"), str(tmp_path / "m"))
+    assert sorted((r.book_id, r.seed, r.v) for r in readers.seed_models(spark, str(tmp_path / "m")).collect()) == [("b1", 0, [1.0]), ("b1", 1, [9.0]), ("b2", 0, [3.0])]
+    assert readers.centroid_models(spark, str(tmp_path / "m")).count() == 2

@@ -52,6 +52,11 @@ def content_tag(tag: Column) -> Column:
     return F.when(first.isin(*CONTENT_TAGS) | tag.contains("RB"), first)
 
 
+def now() -> Column:
+    """The time of the query in whole seconds; session time zone UTC gives UTC."""
+    return F.date_trunc("second", F.current_timestamp())
+
+
 def label(author: Column, year: Column) -> Column:
     """'Smith, Adam', 1776 -> 'Smith (1776)'."""
     return F.concat(F.substring_index(author, ",", 1), F.lit(" ("), year.cast("string"), F.lit(")"))

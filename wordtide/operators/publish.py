@@ -70,25 +70,41 @@ def corpus_terms(rows: DataFrame) -> DataFrame:
 
 
 def merged_corpus(corpus: DataFrame) -> DataFrame:
-    """(term, book_ids): one row per term, the union of its rows; a term without a book has an empty set.
+    """(term, book_ids): one row per term, the union of its rows; a term without a book has an empty set. With the latest
+    `updated_at` of a term's rows, where they have one.
 
     Pairs are made distinct before they are gathered, so repeated batches of a term cost no more than its books.
     """
     pairs = corpus.where("term is not null").select("term", F.explode_outer("book_ids").alias("b")).distinct()
-    return pairs.groupBy("term").agg(F.array_sort(F.collect_set("b")).alias("book_ids"))
+    merged = pairs.groupBy("term").agg(F.array_sort(F.collect_set("b")).alias("book_ids"))
+    if "updated_at" in corpus.columns:
+        merged = merged.join(corpus.where("term is not null").groupBy("term").agg(F.max("updated_at").alias("updated_at")), "term")
+    return merged
 
 
 def add_book(corpus: DataFrame, book_id: str, terms: DataFrame) -> DataFrame:
-    """Adds a book to the sets of `terms` (term), which appear if they are new; adding twice changes nothing."""
+    """Adds a book to the sets of `terms` (term), which appear if they are new; adding twice changes no set.
+
+    Where the corpus has `updated_at`, the rows of `terms` get the time of the query.
+    """
     new = terms.select("term").distinct().withColumn("_new", F.array(F.lit(book_id)))
-    both = corpus.select("term", "book_ids").join(new, "term", "full")
+    both = corpus.select("term", "book_ids", *_times(corpus)).join(new, "term", "full")
     empty = F.array().cast("array<string>")
-    return both.select("term", F.array_sort(F.array_union(F.coalesce("book_ids", empty), F.coalesce("_new", empty))).alias("book_ids"))
+    ids = F.array_sort(F.array_union(F.coalesce("book_ids", empty), F.coalesce("_new", empty))).alias("book_ids")
+    return both.select("term", ids, *_touched(corpus, F.col("_new").isNotNull()))
+
+
+def _times(corpus: DataFrame) -> list[str]:
+    return ["updated_at"] if "updated_at" in corpus.columns else []
+
+
+def _touched(corpus: DataFrame, change: Column) -> list[Column]:
+    return [F.when(change, text.now()).otherwise(F.col(c)).alias(c) for c in _times(corpus)]
 
 
 def remove_book(corpus: DataFrame, book_id: str) -> DataFrame:
-    """Takes a book out of every set; the rows stay, perhaps without a book."""
-    return corpus.select("term", F.array_remove("book_ids", book_id).alias("book_ids"))
+    """Takes a book out of every set; the rows stay, perhaps without a book. `updated_at` changes where the set does."""
+    return corpus.select("term", F.array_remove("book_ids", book_id).alias("book_ids"), *_touched(corpus, F.array_contains("book_ids", book_id)))
 
 
 def remove_book_terms(corpus: DataFrame, book_id: str, terms: DataFrame) -> DataFrame:
@@ -96,7 +112,7 @@ def remove_book_terms(corpus: DataFrame, book_id: str, terms: DataFrame) -> Data
     gone = terms.select("term", F.lit(True).alias("_gone")).distinct()
     rows = corpus.join(gone, "term", "left")
     rows = rows.withColumn("book_ids", F.when(F.col("_gone"), F.array_remove("book_ids", book_id)).otherwise(F.col("book_ids")))
-    return rows.where(F.col("_gone").isNull() | (F.size("book_ids") > 0)).select("term", "book_ids")
+    return rows.where(F.col("_gone").isNull() | (F.size("book_ids") > 0)).select("term", "book_ids", *_touched(corpus, F.coalesce("_gone", F.lit(False))))
 
 
 def deprecated(existing: DataFrame, new: DataFrame) -> DataFrame:

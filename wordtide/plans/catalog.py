@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,10 @@ from ..functions import text, vectors
 from ..operators import alignment, books, describe, lemmas, publish, scores, similarity, training
 from ..sources import readers, sinks
 from . import sql
-from .engine import drift
+from .engine import Engine, drift
+from .errors import TermResolutionError
 from .settings import DEFAULT, SMALL, Settings
-from .ship import ship
+from .ship import shared_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -426,6 +428,23 @@ def event_payload(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.coalesce(F.get_json_object("props", "$.page"), F.get_json_object("props", "$.k")).alias("value"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE event_id::VARCHAR END AS index_ FROM events""")
+def event_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index of events that name it themselves, that carry it in the JSON of their body, and that are broken."""
+    own = F.to_json(F.struct(F.col("event_id").alias("index")))
+    kinds = F.when(F.col("event_id") % 3 == 0, own).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(own.alias("body")))).otherwise(F.substring(own, 1, 5))
+    return readers.table(spark, d, "events").select("event_id", text.event_index(kinds).alias("index_"))
+
+
+@query(_parts(sql.SENTENCES) + " SELECT s3_token_lemmas_key, sent_ix, array_to_string(list_transform(lemmas, lambda x: coalesce(x, '')), '|') AS fields FROM sent WHERE len(lemmas) > 0")
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences as they are read again from the CSV that they are written as."""
+    rows = publish.current_sentences(readers.table(spark, d, "token_lemmas")).where(F.size("lemmas") > 0)
+    lines = sinks.csv_lines(rows.select(F.struct("s3_token_lemmas_key", "sent_ix").alias("id"), "lemmas"), "lemmas")
+    again = readers.csv_rows(lines, "id", "line").withColumnRenamed("sent_ix", "record")
+    return again.select("id.*", F.array_join("tokens", "|").alias("fields"))
+
+
 @query()
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     return readers.texts_of_pages(readers.table(spark, d, "book_pages"), "page_id")
@@ -531,6 +550,17 @@ def corpus_terms_added(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("term", F.size("book_ids").alias("n"))
 
 
+@query(f"SELECT term, count(*) FILTER (mine) > 0 AS touched FROM (SELECT term, false AS mine FROM corpus_terms UNION ALL SELECT term, true FROM book_terms WHERE book_id = '{_HOT}') WHERE term IS NOT NULL GROUP BY term")
+def corpus_terms_touched(spark: SparkSession, d: str) -> DataFrame:
+    """Which rows of the corpus get the time of the query when a book is added; the other rows keep theirs."""
+    corpus = readers.table(spark, d, "corpus_terms")
+    merged = publish.merged_corpus(corpus)
+    own = readers.table(spark, d, "book_terms").where(F.col("book_id") == _HOT).select("term").where("term is not null")
+    rows = publish.add_book(merged, _HOT, own).withColumnRenamed("updated_at", "after")
+    both = rows.join(merged.select("term", F.col("updated_at").alias("before")), "term", "left")
+    return both.select("term", (~F.col("after").eqNullSafe(F.col("before"))).alias("touched"))
+
+
 @query(f"WITH {_MERGED} SELECT term, len(list_filter(book_ids, lambda x: x <> '{_HOT}'))::INT AS n FROM m")
 def corpus_terms_removed(spark: SparkSession, d: str) -> DataFrame:
     merged = publish.merged_corpus(readers.table(spark, d, "corpus_terms"))
@@ -658,6 +688,11 @@ def vector_query_book(spark: SparkSession, d: str) -> DataFrame:
 # training and alignment
 
 
+def stored_in(spark: SparkSession) -> str:
+    """A new place for tables that a query writes and reads again: in the shared checkpoint folder where one is set."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or str(shared_folder(spark))).rstrip('/')}/wordtide-{uuid.uuid4().hex}"
+
+
 def _seed_vectors(spark: SparkSession, d: str) -> DataFrame:
     return books.seed_rows(_books(spark, d)[0]).select("book_id", F.col("seed_ix").alias("seed"), "term", "v")
 
@@ -667,19 +702,68 @@ def centroid_mean(spark: SparkSession, d: str) -> DataFrame:
     return alignment.centroids(_seed_vectors(spark, d)).select("book_id", "term", F.col("d").alias("dim"), six("x").alias("x"))
 
 
-@query()
-def gpa_align(spark: SparkSession, d: str) -> DataFrame:
-    return alignment.aligned_models(_seed_vectors(spark, d), max_iterations=400)
+_SHIFTS = f"""own AS (SELECT book_id, term, v FROM nv WHERE seed_ix = 0)"""
 
 
-@query()
+def _turned(spark: SparkSession, d: str) -> DataFrame:
+    """Four models of every book that are one model in frames turned against each other: its numbers moved by k places."""
+    own = _books(spark, d)[0].select("book_id", "term", F.col("vs")[0].alias("w"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seed"))
+    return own.select("book_id", "seed", "term", F.concat(F.slice("w", F.col("seed") + 1, 16), F.slice("w", F.lit(1), F.col("seed"))).alias("v"))
+
+
+@query(_parts(sql.BOOKS, _SHIFTS) + """ SELECT a.book_id, seed::INT AS seed, a.term, round(list_dot_product(a.v, b.v), 6) + 0.0 AS with_first, 0.0::DOUBLE AS mean_disparity
+  FROM own a JOIN own b ON b.book_id = a.book_id AND b.term = 't0000', (SELECT unnest(range(4)) AS seed)""")
+def gpa_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Models turned against each other align exactly, and turning changes no product of two of a model's vectors."""
+    rows = alignment.aligned_models(_turned(spark, d))
+    first = rows.where("term = 't0000'").select("book_id", "seed", F.col("v").alias("w"))
+    both = rows.join(F.broadcast(first), ["book_id", "seed"])  # one row a book and seed
+    return both.select("book_id", "seed", "term", six(vectors.dot(F.col("v"), F.col("w"))).alias("with_first"), six("mean_disparity").alias("mean_disparity"))
+
+
+@query(_parts(sql.BOOKS, _SHIFTS, "c AS (SELECT book_id, i, avg(v[i]) AS m FROM own, (SELECT unnest(range(1, 17)) AS i) GROUP BY ALL)")
+       + """ SELECT book_id, term, round(sum((v[i] - m) ** 2), 6) AS variance, 0.0::DOUBLE AS disparity, 1.0::DOUBLE AS r_squared FROM own JOIN c USING (book_id) GROUP BY ALL""")
 def alignment_stats(spark: SparkSession, d: str) -> DataFrame:
-    return alignment.term_statistics(_seed_vectors(spark, d), max_iterations=400).drop("vector")
+    """A term's distance from its book's centre and how far its seeds lie apart, for models turned against each other."""
+    rows = alignment.term_statistics(_turned(spark, d))
+    return rows.select("book_id", "term", *(six(x).alias(x) for x in ("variance", "disparity", "r_squared")))
 
 
 @query()
+def gpa_align(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.aligned_models(_seed_vectors(spark, d), max_iterations=400)
+
+
+@query(_parts(sql.TERMS) + " SELECT count_, count(*) AS terms, round(avg(alignment_stats.r_squared), 6) + 0.0 AS r_squared FROM bt GROUP BY count_")
 def alignment_fit_by_count(spark: SparkSession, d: str) -> DataFrame:
-    return alignment.fit_by_count(alignment.term_statistics(_seed_vectors(spark, d), max_iterations=400), _books(spark, d)[1])
+    """How well the published terms fit, by how often they occur."""
+    rows = books.current_terms(readers.table(spark, d, "book_terms"))
+    fit = alignment.fit_by_count(rows.select("book_id", "term", "alignment_stats.r_squared"), rows.select("book_id", "term", "count_"))
+    return fit.withColumn("r_squared", six("r_squared"))
+
+
+@query(_parts(sql.BOOKS) + " SELECT book_id, seed_ix AS seed, term, round(list_sum(v), 6) + 0.0 AS total FROM nv")
+def models_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Every book's seed models as they are read again after they were written."""
+    rows = _seed_vectors(spark, d)
+    folder = f"{stored_in(spark)}/models"
+    sinks.write_models(rows, alignment.centroids(rows), folder)
+    again = readers.seed_models(spark, folder)
+    return again.select("book_id", F.col("seed").cast("int").alias("seed"), "term", six(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query(_parts(sql.BOOKS) + """ SELECT book_id, term, count_, array_to_string(tags, ',') AS pos, '0,1,2,3' AS seeds, 4 AS n_vectors,
+  (SELECT round(sum(x), 3) + 0.0 FROM (SELECT unnest(v) AS x FROM nv WHERE nv.book_id = raw.book_id AND nv.term = raw.term AND seed_ix = 0)) AS total FROM raw""")
+def published_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Term rows from a book's centroid, counts, tags and seed models, vectors in half precision."""
+    _, counts = _books(spark, d)
+    models = _seed_vectors(spark, d)
+    nothing = [F.lit(None).cast("double").alias(x) for x in ("variance", "disparity", "r_squared")]
+    rows = publish.term_rows(counts.select("book_id", "term", "count_", *nothing), counts.select("book_id", "term", "tags"), models)
+    first = F.aggregate(F.col("vectors")[0], F.lit(0.0), lambda s, x: s + x)
+    near = models.where("seed = 0").select("book_id", "term", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("exact"))
+    out = rows.join(near, ["book_id", "term"]).withColumn("total", F.when(F.abs(first - F.col("exact")) < 0.01, F.col("exact")).otherwise(first))
+    return out.select("book_id", "term", "count_", F.array_join("tags", ",").alias("pos"), F.array_join(F.col("seeds").cast("array<string>"), ",").alias("seeds"), F.size("vectors").alias("n_vectors"), (F.round("total", 3) + F.lit(0.0)).alias("total"))
 
 
 def _models(spark: SparkSession, d: str) -> DataFrame:
@@ -704,9 +788,24 @@ def pipeline_align(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_parts(sql.PIPELINE, sql.TERMS, _ALIGNED_TERMS) + " SELECT a.term, a.term IN (SELECT term FROM altm) AS known FROM (SELECT unnest(['rent', 'wage', 'no such term']) AS term) a")
 def resolve_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Asked terms that stand for themselves, by the resolver."""
     known = vocabulary(spark, d)
-    asked = spark.createDataFrame([("rent",), ("wage",), ("no such term",)], "term string")
-    return asked.join(known.withColumn("k", F.lit(True)), "term", "left").select("term", F.col("k").isNotNull().alias("known"))
+
+    def stands(term: str) -> bool:
+        try:
+            return describe.resolve(term, known) == term
+        except TermResolutionError:
+            return False
+
+    return spark.createDataFrame([(t, stands(t)) for t in ("rent", "wage", "no such term")], "term string, known boolean")
+
+
+@query(_parts(sql.PIPELINE, sql.TERMS, _ALIGNED_TERMS) + " SELECT 'rent - wage' AS expression, 'rent,wage' AS terms WHERE (SELECT count(DISTINCT term) FROM altm WHERE term IN ('rent', 'wage')) = 2")
+def parse_describe(spark: SparkSession, d: str) -> DataFrame:
+    """A message to an expression whose terms exist; a misspelt term is put right. The generator stands for a language model."""
+    engine = Engine(readers.table(spark, d, "book_terms"), readers.table(spark, d, "pipeline"))
+    found = engine.parse_describe("what land costs beside labour", generator=lambda message: "rentt - wage")
+    return spark.createDataFrame([(found["expression"], ",".join(found["terms"]))], "expression string, terms string")
 
 
 @query()

@@ -42,12 +42,16 @@ class QueryInTooFewBooks(QueryError):
         return {"book_id": self.book_id}
 
 
+# How the message to a caller ends.
+SUGGESTION, NO_SUGGESTION = "Did you mean: {}?", "No similar terms in vocabulary."
+
+
 class TermResolutionError(QueryError):
     code, status = "term_resolution", 404
 
     def __init__(self, term: str, candidates: list[str]) -> None:
         self.term, self.candidates = term, candidates
-        end = f"Did you mean: {', '.join(candidates)}?" if candidates else "No similar terms in vocabulary."
+        end = SUGGESTION.format(", ".join(candidates)) if candidates else NO_SUGGESTION
         super().__init__(f"'{term}' is not in the vocabulary. {end}")
 
     def fields(self) -> dict:

@@ -22,10 +22,45 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
 
 def sentence_rows(spark: SparkSession, path: str) -> DataFrame:
     """(path, sent_ix, tokens) of CSV files with one sentence a line, each of its own length; quoted fields allowed."""
-    lines = objects(spark, path).select("path", F.posexplode(F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n")).alias("sent_ix", "line"))
-    fields = F.split("line", ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    plain = F.transform(fields, lambda x: F.replace(F.regexp_replace(x, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
-    return lines.select("path", "sent_ix", plain.alias("tokens"))
+    return csv_rows(objects(spark, path), "path", "text")
+
+
+def csv_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, sent_ix, tokens) of CSV in a column: a row for each record, which may hold line breaks within quotes.
+
+    A null text gives no row, an empty line an empty record; records are as long as they are.
+    """
+
+    def parse(batches):  # noqa: ANN001, ANN202
+        import csv
+        import io
+
+        import pyarrow as pa
+
+        kind_ = pa.list_(pa.string())
+        csv.field_size_limit(1 << 30)
+        for b in batches:
+            keys, order, tokens = [], [], []
+            for at, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for i, fields in enumerate(csv.reader(io.StringIO(value or "", newline=""))):
+                    keys.append(at)
+                    order.append(i)
+                    tokens.append(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(order, pa.int32()), pa.array(tokens, kind_)], ["key", "sent_ix", "tokens"])
+
+    kind = dict(rows.dtypes)[key]
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(parse, f"key {kind}, sent_ix int, tokens array<string>").withColumnRenamed("key", key)
+
+
+def seed_models(spark: SparkSession, folder: str) -> DataFrame:
+    """(book_id, seed, term, v): the models of all books in a folder, centroids left out; a filter on book_id and seed
+    reads only their files."""
+    return spark.read.parquet(f"{folder}/seeds")
+
+
+def centroid_models(spark: SparkSession, folder: str) -> DataFrame:
+    """(book_id, term, count_, vector, variance, disparity, r_squared) of all books in a folder."""
+    return spark.read.parquet(f"{folder}/centroids")
 
 
 def files(spark: SparkSession, prefix: str, part: str) -> DataFrame:

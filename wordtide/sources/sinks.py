@@ -36,7 +36,15 @@ def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def write_models(seed_vectors: DataFrame, centroids: DataFrame, folder: str) -> None:
+    """A book's seed models and its centroid in `folder`, one directory a book and seed; other books' stay."""
+    write_partitions(seed_vectors, f"{folder}/seeds", ["book_id", "seed"])
+    write_partitions(centroids, f"{folder}/centroids", ["book_id"])
+
+
 def csv_lines(df: DataFrame, tokens: str) -> DataFrame:
-    """(…, line): a list as one CSV line, with quotes only where they are needed."""
-    quoted = F.transform(tokens, lambda x: F.when(x.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x))
-    return df.withColumn("line", F.array_join(quoted, ","))
+    """(…, line): a list as one CSV line, with quotes only where they are needed; a null field is an empty one."""
+    fields = F.transform(tokens, lambda x: F.coalesce(x, F.lit("")))
+    quoted = F.transform(fields, lambda x: F.when(x.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x))
+    # a line that is one empty field would be no record
+    return df.withColumn("line", F.when(fields == F.array(F.lit("")), F.lit('""')).otherwise(F.array_join(quoted, ",")))
