@@ -164,15 +164,17 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, width: int = WIDT
     histogram = np.zeros(units + 1, dtype=np.int64)
     for c, n in counts.items():
         histogram[c] = n
-    ranges, base, used = [], 0, np.zeros(units + 1, dtype=np.int64)
+    ranges: dict[int, tuple[list[int], list[int], list[int]]] = {}
+    base, used = 0, np.zeros(units + 1, dtype=np.int64)
     for combo, repeats in plan(histogram, units):
         for c, k in combo.items():
-            ranges.append((int(c), int(used[c]), int(used[c] + k * repeats), base, repeats))
+            for own, x in zip(ranges.setdefault(int(c), ([], [], [])), (int(used[c]), base, repeats)):
+                own.append(x)
             used[c] += k * repeats
         base += repeats
-    schema = "class int, low bigint, high bigint, base bigint, repeats bigint"
-    # a few for each class and combination: bounded by the capacity, not by the data
-    owners = F.broadcast(items.sparkSession.createDataFrame(ranges, schema))
+    schema = "class int, lows array<bigint>, bases array<bigint>, repeats array<bigint>"
+    # one row a class, a few ranges for each combination: bounded by the capacity, not by the data
+    owners = F.broadcast(items.sparkSession.createDataFrame([(c, *own) for c, own in ranges.items()], schema))
     # ranks within a class without gathering it: ranked in parts, each part begins where those before it end
     parts = max(8, int(histogram.sum()) // RANKED + 1)
     items = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(parts)).cast("int"))
@@ -180,6 +182,7 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, width: int = WIDT
     offsets = items.groupBy("class", "part").agg(F.count("*").alias("n")).select("class", "part", F.coalesce(before, F.lit(0)).alias("offset"))
     ranked = items.withColumn("place", F.row_number().over(Window.partitionBy("class", "part").orderBy("doc_id", "piece_no")) - 1)
     ranked = ranked.join(offsets, ["class", "part"]).withColumn("rank", F.col("offset") + F.col("place"))
-    placed = ranked.join(owners, "class").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    container = F.col("base") + (F.col("rank") - F.col("low")) % F.col("repeats")
+    # a class's ranges follow each other, so an item's is the last that begins at or before its rank
+    placed = ranked.join(owners, "class").withColumn("at", F.size(F.filter("lows", lambda low: low <= F.col("rank"))))
+    container = F.element_at("bases", F.col("at")) + (F.col("rank") - F.element_at("lows", F.col("at"))) % F.element_at("repeats", F.col("at"))
     return placed.select(container.alias("container_id"), "doc_id", "piece_no", "first_token", "tokens")
