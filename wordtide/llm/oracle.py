@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .norm import transducer
+
 _CURRENT = """cur AS (SELECT book_id, term, count_ FROM (SELECT book_id, term, count_,
   row_number() OVER (PARTITION BY book_id, term ORDER BY published_at DESC NULLS LAST, count_ DESC) AS r
   FROM book_terms WHERE count_ IS NOT NULL AND book_id IS NOT NULL AND term IS NOT NULL) WHERE r = 1)"""
@@ -36,6 +38,26 @@ x AS (SELECT a, b, fa.c AS n_a, fb.c AS n_b, n_ab, n, n_ab * n / (fa.c::DOUBLE *
   FROM p JOIN f fa ON fa.lemma = a JOIN f fb ON fb.lemma = b, total)"""
 
 
+def _form(text: str) -> str:
+    """SQL for the form for comparing: the mapping of single characters, then composed characters, without contexts."""
+    table = transducer(True).table
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    single = {c: to for c, to in table.items() if len(to) == 1}
+    out = f"translate({text}, {quote(''.join(single))}, {quote(''.join(single.values()))})"
+    gone = "".join(f"\\x{{{ord(c):x}}}" for c, to in table.items() if not to)
+    out = f"regexp_replace({out}, '[\\x00-\\x08\\x0e-\\x1f\\x7f{gone}]', '', 'g')"
+    for c, to in table.items():
+        if len(to) > 1 and to.isascii():
+            out = f"replace({out}, {quote(c)}, {quote(to)})"
+    return f"nfc_normalize({out})"
+
+
+def _windows(name: str, table: str, key: str) -> str:
+    words = f"regexp_extract_all(lower({_form('text')}), '(?:[\\p{{L}}\\p{{N}}][\\x{{300}}-\\x{{36f}}]*)+')"
+    return f"""{name}w AS (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL AND {key} IS NOT NULL),
+{name} AS (SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) AS words FROM {name}w WHERE len(w) >= 13)"""
+
+
 def _xlogx(x: str) -> str:
     return f"(CASE WHEN {x} > 0 THEN ({x}) * ln(greatest({x}, 1e-9)) ELSE 0 END)"
 
@@ -63,6 +85,12 @@ def oracle_sql() -> dict[str, str]:
             p AS (SELECT a.term AS term_a, b.term AS term_b, a.n AS n_a, b.n AS n_b, count(*)::DOUBLE AS shared FROM m a JOIN m b ON a.book = b.book
               AND (a.n > b.n OR (a.n = b.n AND a.term < b.term)) GROUP BY ALL)
             SELECT term_a, term_b, n_a, n_b, shared, round(shared / (n_a + n_b - shared), 6) AS share FROM p WHERE shared * 4 >= 3 * (n_a + n_b - shared)""",
+        "p2_found": f"""WITH t AS (SELECT DISTINCT 'term' AS kind, book_id, term AS key, term AS raw FROM book_terms WHERE term IS NOT NULL AND book_id IS NOT NULL
+            UNION ALL SELECT DISTINCT 'text', book_id, doc_id::VARCHAR, text FROM documents WHERE text IS NOT NULL AND book_id IS NOT NULL AND doc_id IS NOT NULL),
+            f AS (SELECT kind, book_id, key, raw, CASE kind WHEN 'term' THEN regexp_replace({_form("raw")}, '^\\s+|\\s+$', '', 'g') ELSE {_form("raw")} END AS form FROM t)
+            SELECT a.kind, a.book_id, a.key AS key_a, b.key AS key_b FROM f a JOIN f b USING (kind, book_id, form) WHERE a.key < b.key AND a.raw <> b.raw""",
+        "p9_found": f"""WITH {_windows("d", "documents", "doc_id")}, {_windows("i", "eval_items", "item_id")}
+            SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (words)""",
         "p7_pairs": f"""{_P7} SELECT a AS item_a, b AS item_b, n_a, n_b, n_ab, round(lift, 4) AS lift, round(greatest({_LLR}, 0), 3) AS llr
             FROM x WHERE {_LLR} >= 10.83""",
         "p7_found": f"{_P7} SELECT a AS lemma_a, b AS lemma_b FROM x WHERE lift >= 6",
