@@ -520,6 +520,29 @@ def noun_to_verb(spark: SparkSession, d: str) -> DataFrame:
     return lemmas.shortest_verbs(starts.join(verbs, "verb").select("lemma", "verb"))
 
 
+_COARSE_SQL = "CASE WHEN tag LIKE 'N%' THEN 'NOUN' WHEN tag LIKE 'V%' THEN 'VERB' WHEN tag LIKE 'J%' THEN 'ADJ' WHEN tag LIKE 'RB%' THEN 'ADV' ELSE 'X' END"
+
+
+@query(_parts(sql.SENTENCES, _TAGGED, rf"c AS (SELECT DISTINCT lemma AS token, {_COARSE_SQL} AS coarse, replace(lower(regexp_replace(lemma, '[^\p{{L}}]', '', 'g')), 'labor', 'labour') AS clean FROM t WHERE tag IS NOT NULL)",
+              "w AS (SELECT DISTINCT clean FROM c WHERE clean <> '')", "dict AS (SELECT clean, left(clean, -1) AS base FROM w WHERE clean LIKE '%s' AND length(clean) > 3 AND left(clean, -1) IN (SELECT clean FROM w))",
+              "vb AS (SELECT DISTINCT clean AS verb FROM c WHERE coarse = 'VERB' AND length(clean) > 2)",
+              f"der AS (SELECT clean, verb FROM (SELECT w.clean, verb, row_number() OVER (PARTITION BY w.clean ORDER BY length(verb), verb) AS r FROM w JOIN vb ON starts_with(w.clean, verb) AND length(verb) < length(w.clean) WHERE w.clean NOT IN ({_KEPT})) WHERE r = 1)",
+              "l AS (SELECT token, coarse, c.clean, CASE WHEN coarse = 'NOUN' THEN coalesce(base, c.clean) ELSE c.clean END AS lemma FROM c LEFT JOIN dict ON dict.clean = c.clean)")
+       + " SELECT token, coarse, l.clean, CASE WHEN coarse = 'NOUN' AND l.clean <> '' THEN coalesce(verb, lemma) ELSE lemma END AS lemma FROM l LEFT JOIN der ON der.clean = l.lemma")
+def lemmatised(spark: SparkSession, d: str) -> DataFrame:
+    """Every tagged token's clean form and lemma. Plurals in -s whose singular occurs, and verbs that nouns begin with, stand
+    for dictionaries."""
+    tags = F.when(F.col("tag").startswith("N"), "NOUN").when(F.col("tag").startswith("V"), "VERB").when(F.col("tag").startswith("J"), "ADJ").when(F.col("tag").startswith("RB"), "ADV").otherwise("X")
+    rows = publish.tokens(readers.table(spark, d, "token_lemmas")).where("lemma <> '' and tag is not null").select(F.col("lemma").alias("token"), tags.alias("coarse")).distinct()
+    clean = rows.select("coarse", text.respell(text.clean(F.col("token"))).alias("w")).where("w <> ''").distinct()
+    words = clean.select("w").distinct()
+    plurals = words.where("w like '%s' and length(w) > 3").select(F.col("w").alias("token"), F.lit("n").alias("pos"), F.expr("left(w, length(w) - 1)").alias("lemma"))
+    known = plurals.join(words.select(F.col("w").alias("lemma")), "lemma", "left_semi").select("token", "pos", "lemma")
+    starts = words.where("length(w) > 3").select(F.col("w").alias("lemma"), F.explode(F.transform(F.sequence(F.lit(3), F.length("w") - 1), lambda n: F.substring("w", F.lit(1), n))).alias("verb"))
+    verbs = clean.where("coarse = 'VERB' and length(w) > 2").select(F.col("w").alias("verb"))
+    return lemmas.lemmatised(rows, known, starts.join(verbs, "verb").select("lemma", "verb"))
+
+
 # publishing
 
 
