@@ -52,7 +52,7 @@ _CONTAINERS = frozenset("div section article main aside nav header footer table
 _LISTS = frozenset("table ul ol dl form td".split())
 _INLINE = frozenset("a b i em strong span sup sub font small u tt code cite q abbr img".split())
 _DIGITS = re.compile(r"\d+")
-_ITEMS = re.compile(r"\s*[|»·•]\s*")
+_ITEMS, _ITEM_MARK = re.compile(r"\s*[|»·•]\s*"), re.compile("[|»·•]")
 
 
 class Unit:
@@ -61,20 +61,25 @@ class Unit:
     __slots__ = ("lines", "value", "lead", "link", "head", "nav", "words")
 
     def __init__(self, text: str, lines: list[int], link: int, head: bool, bold: int) -> None:
-        shown = skeleton(entities.unescape(text))
-        words = shown.split()
-        size = len("".join(text.split()))
+        words = skeleton(entities.unescape(text) if "&" in text else text).split()
+        shown = " ".join(words)
         self.lines = lines
-        value = _DIGITS.sub("#", " ".join(words).lower())
+        value = _DIGITS.sub("#", shown.lower())
         # a long text is known by its beginning and its hash
         self.value = value if len(value) <= 64 else f"{value[:32]}…{xxhash.xxh64_hexdigest(value.encode('utf-8', 'surrogatepass'))}"
         self.words = len(words)
-        lead, colon, _ = value.partition(":")
-        self.lead = lead.strip() + ":" if colon and len(lead.split()) <= 4 and self.words <= 18 else ""
+        self.lead = ""
+        if self.words <= 18 and ":" in value:
+            lead = value.partition(":")[0]
+            if len(lead.split()) <= 4:
+                self.lead = lead.strip() + ":"
+        size = sum(map(len, text.split())) if link or bold else 0
         self.link = link >= size > 0
         self.head = (head or bold >= size > 0) and self.words <= 14
-        parts = [x for x in _ITEMS.split(" ".join(words)) if x]
-        self.nav = len(parts) > 2 and self.words <= 4 * len(parts)
+        self.nav = False
+        if _ITEM_MARK.search(shown):
+            parts = [x for x in _ITEMS.split(shown) if x]
+            self.nav = len(parts) > 2 and self.words <= 4 * len(parts)
 
 
 def read(page: str) -> list[tuple[str, list[Unit]]]:
@@ -133,12 +138,13 @@ def read(page: str) -> list[tuple[str, list[Unit]]]:
             if lines and not in_bold and token.lstrip(" \t\r").startswith("\n") and bold >= len("".join("".join(text).split())):
                 flush()  # a bold line by itself
             for i, part in enumerate(token.split("\n")):
-                if part.strip():
+                if part and not part.isspace():
                     if not lines or lines[-1] != line + i:
                         lines.append(line + i)
-                    size = len("".join(part.split()))
-                    link += size * (in_link > 0)
-                    bold += size * (in_bold > 0)
+            if in_link or in_bold:
+                size = sum(map(len, token.split()))
+                link += size * in_link
+                bold += size * in_bold
             text.append(token)
         else:
             tag = _TAG.match(token)
