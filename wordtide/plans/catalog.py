@@ -757,12 +757,12 @@ def gpa_align(spark: SparkSession, d: str) -> DataFrame:
     return alignment.aligned_models(_seed_vectors(spark, d), max_iterations=400)
 
 
-@query(_parts(sql.TERMS) + " SELECT count_, count(*) AS terms, round(avg(alignment_stats.r_squared), 6) + 0.0 AS r_squared FROM bt GROUP BY count_")
+@query(_parts(sql.TERMS) + " SELECT count_, count(*) AS terms, round(sum(alignment_stats.r_squared), 6) + 0.0 AS total FROM bt GROUP BY count_")
 def alignment_fit_by_count(spark: SparkSession, d: str) -> DataFrame:
-    """How well the published terms fit, by how often they occur."""
+    """How well the published terms fit, by how often they occur; the mean as its sum, which has no halves to round."""
     rows = books.current_terms(readers.table(spark, d, "book_terms"))
     fit = alignment.fit_by_count(rows.select("book_id", "term", "alignment_stats.r_squared"), rows.select("book_id", "term", "count_"))
-    return fit.withColumn("r_squared", six("r_squared"))
+    return fit.select("count_", "terms", six(F.coalesce("r_squared", F.lit(0.0)) * F.col("terms")).alias("total"))
 
 
 @query(_parts(sql.BOOKS) + " SELECT book_id, seed_ix AS seed, term, round(list_sum(v), 6) + 0.0 AS total FROM nv")
