@@ -193,3 +193,29 @@ def test_entries_leave_the_index(spark):
     assert [r.id for r in publish.without_vectors(entries, "a").collect()] == ["b::x"]
     gone = spark.createDataFrame([("a::x",), ("none",)], "id string")
     assert sorted(r.id for r in publish.without_vectors(entries, ids=gone).collect()) == ["a::y", "b::x"]
+
+
+def test_training_loop_is_skip_gram(spark):
+    """The loop in the JVM gives what `skip_gram` gives, for books that share a task and for one that has a task a model."""
+    rng = np.random.default_rng(1)
+    books = {b: [[f"word{chr(97 + x)}" for x in rng.zipf(1.5, 7) % 20] for _ in range(n)] for b, n in (("a", 40), ("b", 300), ("c", 2))}
+    rows = [(b, i, s) for b, own in books.items() for i, s in enumerate(own)]
+    df = spark.createDataFrame(rows, "book_id string, sent_ix bigint, words array<string>").orderBy(F.desc("sent_ix"))
+    got = {}
+    for r in training.train_all(df, [3, 4], size=13, min_count=3, epochs=4, sample=1e-2).collect():
+        got.setdefault((r.book_id, r.seed), {})[r.term] = r.v
+    for b, own in books.items():
+        for seed in (3, 4):
+            terms, v = training.skip_gram(own, seed, 13, 3, 4, training.WINDOW, 1e-2)
+            assert sorted(got[b, seed]) == terms and np.allclose([got[b, seed][t] for t in terms], v, atol=1e-5)
+
+
+def test_a_book_of_many_words_trains_in_seconds(spark):
+    import time
+
+    rng = np.random.default_rng(2)
+    rows = [("b", i, [f"w{chr(97 + x % 26)}{chr(97 + x // 26)}xx" for x in rng.integers(0, 600, 7)]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "book_id string, sent_ix bigint, words array<string>")
+    began = time.time()
+    assert training.train_all(df, [1], epochs=10, sample=None).count() == 600
+    assert time.time() - began < 25
