@@ -219,3 +219,15 @@ def test_a_book_of_many_words_trains_in_seconds(spark):
     began = time.time()
     assert training.train_all(df, [1], epochs=10, sample=None).count() == 600
     assert time.time() - began < 25
+
+
+def test_few_terms_align_in_their_own_space():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 200))
+    models = np.stack([(base + rng.normal(size=base.shape) * 0.05) @ np.linalg.qr(rng.normal(size=(200, 200)))[0] for _ in range(3)])
+    a, b = models[0], models[1]
+    assert np.allclose(alignment.turned(a, b), a @ alignment.rotation(a, b))
+    out, centroid, mean, n = alignment.align(models)
+    assert out.shape == models.shape and all(np.allclose(x @ x.T, y @ y.T) for x, y in zip(models, out)) and mean < 0.04
+    with pytest.raises(alignment.NotAligned):
+        alignment.align(models[:, :1], max_iterations=10**12)  # one term never aligns, and is not tried
