@@ -11,7 +11,7 @@ from wordtide.operators import books, scores, similarity
 from wordtide.plans import catalog
 from wordtide.plans.engine import Engine, drift
 from wordtide.plans.errors import ExpressionAbsent, InvalidRequest, QueryInTooFewBooks
-from wordtide.plans.settings import DEFAULT
+from wordtide.plans.settings import DEFAULT, Settings
 
 NAMED = ["labour", "value", "wage", "rent", "stock", "price", "profit", "capital"]
 FILLERS = [f"filler{i:03d}" for i in range(100)]
@@ -254,3 +254,24 @@ def test_lists(spark):
     assert {r.label for r in engine.books().collect()} == {"Smith (1776)", "Montesquieu (1748)"}
     assert [(r.term, r.books) for r in engine.terms().collect()] == [("labour", [1, 8])]
     assert {r.term for r in engine.vocabulary().collect()} == {"labour", "only"}
+
+
+def test_requests_are_scored_at_once(spark, monkeypatch):
+    """All requests in one plan, with the scores that the drift query gives one by one; for several requests, and without a seed here and there."""
+    from dataclasses import replace
+
+    table = spark.read.parquet("/root/testdata/sf0.001/book_terms.parquet").where("book_id is not null")
+    table = table.withColumn("vectors", F.when(F.col("book_id") == "gutenberg-9063837", F.slice("vectors", 1, 2)).otherwise(F.col("vectors")))
+    settings = Settings(min_books=3, anchors=10, centre=10, stable_rank=10, unstable_rank=20, max_books=4)
+    matrix, counts = books.term_books(table)
+    rich = counts.where("term = 'rent'").select("book_id").join(counts.groupBy("book_id").agg(F.count("*").alias("n")), "book_id").orderBy(F.desc("n"), "book_id").collect()
+    want = catalog._published_scores(matrix, counts, ex.parse("rent"), [int(r.book_id.rpartition("-")[2]) for r in rich], settings).orderBy("expr", "book_id").collect()
+    monkeypatch.setattr(catalog, "drift", None)
+    got = catalog._batched(table, ex.parse("rent"), settings).orderBy("expr", "book_id").collect()
+    assert len(got) == len(want) > 10 and len(rich) > 8 and {r.n_seeds for r in got} >= {2}
+    for a, b in zip(got, want):
+        assert (a.expr, a.book_id, a.n_seeds, a.n_books, a.occurrences) == (b.expr, b.book_id, b.n_seeds, b.n_books, b.occurrences)
+        assert [a.mean_local_similarity, a.ci_lo, a.ci_hi] == pytest.approx([b.mean_local_similarity, b.ci_lo, b.ci_hi], abs=2e-6)
+    with pytest.raises(QueryInTooFewBooks):
+        catalog._batched(table, ex.parse("rent"), replace(settings, min_books=5))
+    assert catalog.queries()["published_drift"](spark, "/root/testdata/sf0.001").count() > 0
